@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +27,13 @@ from .shared import id_and_text
 #: Stands for the mark that closes a word; no mapped byte is this character.
 CLOSE = "\n"
 NEVER = 1 << 40
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 200_000
+CACHE_WORDS = 400_000
 CACHE_PAIRS = 2_000_000
 
 _workers: dict[int, "Bpe"] = {}
 
 
-def byte_letters() -> list[str]:
-    """The printable stand-in of each byte: itself where printable, else from U+0100 on in order."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out, spare = [], 0x100
-    for b in range(256):
-        if b in shown:
-            out.append(chr(b))
-        else:
-            out.append(chr(spare))
-            spare += 1
-    return out
-
-
 class Bpe:
     """Encodes and decodes by a tokenizers file of byte-level BPE with word ends."""
 
@@ -66,7 +55,7 @@ class Bpe:
         self.strings = [""] * size
         for t, i in [*model["vocab"].items(), *self.special.items()]:
             self.strings[i] = t
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = dict(enumerate(tokens.byte_letters()))
         self.words = regex.compile(tokens.FORM["split"])
         self.by_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         self.longest = max(map(len, self.ids))
@@ -77,6 +66,7 @@ class Bpe:
         self._derive(size)
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.known = tokens.Kept(CACHE_WORDS)
 
     def _derive(self, size: int) -> None:
         """How each token is made, and which tokens are not what merging gives for them."""
@@ -198,12 +188,14 @@ class Bpe:
         """Puts the ids of new lower-cased chunks in the cache."""
         if len(self.chunks) + len(chunks) > CACHE_CHUNKS:
             self.chunks.clear()
-        split = [self.words.findall(c) for c in chunks]
-        flat = [self._mapped(w) for ws in split for w in ws]
-        coded, at = self.encode_words(flat), 0
+        split = [[c] if c.isalpha() else self.words.findall(c) for c in chunks]
+        known = self.known
+        new = list({w for ws in split for w in ws if w not in known})
+        coded = {w: array("I", ids).tobytes() for w, ids in zip(new, self.encode_words([self._mapped(w) for w in new]), strict=True)}
         for c, ws in zip(chunks, split, strict=True):
-            self.chunks[c] = np.array([t for ids in coded[at : at + len(ws)] for t in ids], "<u4").tobytes()
-            at += len(ws)
+            self.chunks[c] = b"".join([coded[w] if w in coded else known[w] for w in ws])
+        for w, ids in coded.items():
+            known.put(w, ids)
 
     def _any(self, text: str) -> bytes:
         """A text of any characters: the library's normaliser and splitter, our merges."""

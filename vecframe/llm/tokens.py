@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -26,7 +27,7 @@ FORM = {
     },
     "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-#: Distinct chunks kept by a worker; beyond this the cache starts anew.
+#: Distinct chunks, and distinct words, kept by a worker.
 CACHE_CHUNKS = 400_000
 
 _odd = re.compile("[̀-\U0010ffff]")
@@ -44,6 +45,19 @@ def read_json(path: str) -> str:
         return f.read()
 
 
+def byte_letters() -> list[str]:
+    """The printable stand-in of each byte: itself where printable, else from U+0100 on in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out, spare = [], 0x100
+    for b in range(256):
+        if b in shown:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
+
+
 def independent_chunks(spec: dict) -> bool:
     """Whether the tokenizer has the form for which chunks can be encoded one by one."""
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -74,23 +88,52 @@ def plain(text: str) -> bool:
     return not ("<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
 
 
-class ChunkEncoder(dict):
+class Kept(dict):
+    """A cache that keeps what came first, which holds what is frequent; it starts anew once it has
+    turned away as many entries as it holds."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.away = limit, 0
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self) < self.limit:
+            self[key] = value
+        else:
+            self.away += 1
+            if self.away > self.limit:
+                self.clear()
+                self.away = 0
+
+
+class ChunkEncoder(Kept):
     """Maps a lower-cased chunk to its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, spec_json: str, limit: int = CACHE_CHUNKS):
+        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(limit)
         self.tokenizer = Tokenizer.from_str(spec_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit = limit
         self.fast = independent_chunks(json.loads(spec_json))
+        self.words = Kept(limit)
+        self.split = regex.compile(FORM["split"]).findall
+        self.letters = dict(enumerate(byte_letters()))
+        self.merge = self.tokenizer.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self[chunk] = self.whole(chunk)
+        out = []
+        for word in (chunk,) if chunk.isalpha() else self.split(chunk):
+            ids = self.words.get(word)
+            if ids is None:
+                found = self.merge(word.encode().decode("latin-1").translate(self.letters))
+                ids = array("I", [t.id for t in found]).tobytes()
+                self.words.put(word, ids)
+            out.append(ids)
+        ids = b"".join(out)
+        self.put(chunk, ids)
         return ids
 
     def whole(self, text: str) -> bytes:
