@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, tokens
+from pyspark.sql import functions as F
+
+from . import ann, bpe, langid, packing, quality, tokens
 from .shared import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -16,5 +18,23 @@ def op3_bpe(spark, sf_dir):
     return bpe.encode_decode(documents(spark, sf_dir), tokens.public_path(WORD_BPE))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe}
+def op4_multi_index(spark, sf_dir):
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op5_language(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op10_quality(spark, sf_dir):
+    return quality.rank_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op3_bpe": op3_bpe,
+    "op4_multi_index": op4_multi_index,
+    "op5_language": op5_language,
+    "op10_quality": op10_quality,
+}
 SQL: dict[str, str] = {}

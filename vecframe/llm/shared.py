@@ -54,3 +54,19 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def as_long(unsigned: Column) -> Column:
     return unsigned.cast(T.LongType())
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows of df (all, if it has no more), chosen by a hash of key.
+
+    The same rows each time; the number strays from `rows` by a few square roots of it.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+
+
+def held_out(doc_id: Column, folds: int, fold: int) -> Column:
+    """Whether crc32(doc_id as text) mod folds is fold; a document without an id is never learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(True))
