@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     chosen = nodes.select("node", "t1", "t2").join(wanted, "node")
     texts = base.select("doc_id", "text").join(small(chosen.select(F.col("node").alias("doc_id"), one_text.alias("of"))), "doc_id")
     texts = texts.filter(F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2")) == F.col("of"))
-    texts = written(texts.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), "texts")
+    texts = written(texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "texts")
     links = written(alike(stars, texts, k, similarity), "links")
     found = components(links)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, quality, tokens
+from . import ann, bagminhash, bpe, langid, packing, quality, tokens
 from .shared import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op5_language(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
+def op8_near_duplicates(spark, sf_dir):
+    return bagminhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_quality(spark, sf_dir):
     return quality.rank_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_multi_index": op4_multi_index,
     "op5_language": op5_language,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}
