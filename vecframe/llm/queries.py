@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bagminhash, bpe, langid, packing, quality, tokens
+from . import ann, bagminhash, bpe, decontaminate, langid, packing, quality, tokens
 from .shared import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op5_language(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return bagminhash.near_duplicates(documents(spark, sf_dir))
 
@@ -39,7 +43,25 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_multi_index": op4_multi_index,
     "op5_language": op5_language,
+    "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op7_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (
+            SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS s
+            FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+        f AS (SELECT DISTINCT doc_id, i, m, item_id FROM dw JOIN bw USING (m, s)),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM f) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS s FROM (SELECT DISTINCT doc_id, item_id FROM f) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            coalesce(n.s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+}
