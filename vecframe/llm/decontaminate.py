@@ -55,6 +55,10 @@ def short_print(w: Column, m: int) -> Column:
     return F.xxhash64(F.lit(m), w)
 
 
+def short_prints(w: Column, m: int) -> Column:
+    return runs(w, m, lambda i: short_print(F.slice(w, i, m), F.lit(m)))
+
+
 def stretch_hash(w: Column) -> list[Column]:
     return [F.xxhash64(w).alias("h1"), F.xxhash64(F.lit("stretch"), w).alias("h2")]
 
@@ -86,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
 
     def fingerprints(w: Column) -> Column:
         kinds = [F.coalesce(winnowed(w, span, k), F.array().cast("array<long>"))]
-        kinds += [F.coalesce(runs(w, m, lambda i, m=m: short_print(F.slice(w, i, m), F.lit(m))), F.array().cast("array<long>")) for m in lengths]
+        kinds += [F.coalesce(short_prints(w, m), F.array().cast("array<long>")) for m in lengths]
         return F.array_distinct(F.concat(*kinds))
 
     worded = base.filter("text IS NOT NULL").select(*row_keys("doc_id", "text"), "text")
@@ -100,7 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
             return F.coalesce(F.filter(at, lambda x: x.isNotNull()), F.array().cast("array<struct<at:int,m:int>>"))
 
         kinds = [kept(span, winnowed(w, span, k))]
-        kinds += [kept(m, runs(w, m, lambda i, m=m: short_print(F.slice(w, i, m), F.lit(m)))) for m in lengths]
+        kinds += [kept(m, short_prints(w, m)) for m in lengths]
         return F.transform(F.concat(*kinds), lambda x: let(F.slice(w, x["at"], x["m"]), lambda s: F.struct(x["at"].alias("at"), x["m"].alias("m"), *stretch_hash(s))))
 
     again = worded.join(small(hits), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
