@@ -24,7 +24,7 @@ from .shared import bounded_sample
 
 FIT_ROWS = 20_000
 #: The share of all rows that the cells of a query hold together, and the least number.
-SHARE, LEAST = 0.5, 2_000
+SHARE, LEAST = 0.6, 2_000
 SHELF_ROWS = (256, 20_000)
 QUERY_BLOCK = 4_096
 
@@ -134,7 +134,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, share: float = SHARE, leas
         return spark.createDataFrame([], out)
     sample = bounded_sample(base, "vec_id", FIT_ROWS).toArrow()
     fitted = _matrix(sample.column("embedding").combine_chunks(), dims)[np.argsort(sample.column("vec_id").to_numpy(), kind="stable")].astype("f8")
-    index = MultiIndex(fitted, centroids or int(np.clip(round(total**0.5 / 8), 2, 64)))
+    index = MultiIndex(fitted, centroids or int(np.clip(round(total**0.5 / 2.8), 2, 64)))
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches):

@@ -75,10 +75,11 @@ def stretches(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     return items.select("item_id", F.explode(w).alias("w")).withColumn("m", F.size("w")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, keys: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document.
 
-    docs needs doc_id and text, benchmark item_id and text; further columns are ignored. A
+    With keys, also k1 and k2, which name a row by doc_id and text as row_keys does. docs
+    needs doc_id and text, benchmark item_id and text; further columns are ignored. A
     null text has no words and is clean. Each row of docs has a row, also where doc_ids
     are null or repeated. Rows of the benchmark with the same item_id are one item;
     a null item_id is the item named "". Empty tables give clean documents or no rows.
@@ -130,4 +131,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
         items.alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         ((hit > 0) & (SHARE * hit >= F.col("n_words"))).alias("contaminated"),
+        *(["k1", "k2"] if keys else []),
     )

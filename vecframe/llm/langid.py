@@ -293,20 +293,22 @@ def identify(docs: DataFrame, folds: int = 5, fold: int = 0, keep: list[str] | N
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected of each document.
 
     Learns from the rows of docs outside the fold alone. docs needs doc_id, text and lang;
-    `keep` names columns to carry on. A null text, or one without letters, is `und`
+    `keep` names columns to carry on, as kept_0, kept_1, ... A null text, or one without letters, is `und`
     with score 0 and rejected. Ties go to the language first by name. With nothing to
     learn from, every row is `und`. A null doc_id counts as held out.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(fit(base.filter(~held_out(F.col("doc_id"), folds, fold))))
     keep = keep or []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep) if c != "text"))
 
     def predict(batches):
         for batch in batches:
             lang, score, h, rejected = model.value.predict(batch.column(2).to_pylist())
             columns = [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns + batch.columns[3:], ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected", *batch.schema.names[3:]])
+            rest = iter(batch.columns[3:])
+            columns += [batch.column(2) if c == "text" else next(rest) for c in keep]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected", *(f"kept_{k}" for k in range(len(keep)))])
 
     kinds = dict(docs.dtypes)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean" + "".join(f", kept_{k} {kinds[c]}" for k, c in enumerate(keep))

@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample, held_out, id_and_text
-from .textbytes import groups, utf8
+from .textbytes import groups, utf8, words
 
 CUT = 0.7
 PAIRS = 512  # hashed pairs of bytes
-EXTRA = 4
+EXTRA = 5
+SMOOTH = 64  # bytes that each text counts as longer, so that short texts show no extremes
 WIDTH = 256 + PAIRS + EXTRA
 #: The bound of labelled rows of each kind that the ranking is fitted on.
 FIT_ROWS = 4_000
@@ -35,10 +36,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     inside = doc[:-1] == doc[1:]
     double = np.bincount(doc[:-1][inside] * PAIRS + pair[inside], minlength=n * PAIRS).reshape(n, PAIRS)
     f = np.zeros((n, WIDTH), "f4")
-    scale = 1.0 / np.maximum(sizes, 1)[:, None]
+    scale = 1.0 / (sizes + SMOOTH)[:, None]
     f[:, :256] = np.log1p(1000 * single * scale)
     f[:, 256 : 256 + PAIRS] = np.log1p(1000 * double * scale)
     blanks = single[:, 0x20] + single[:, 0x0A]
+    h, starts, ends = words(data, offsets)
+    again = np.zeros(len(h) + 1)
+    again[1 : len(h)] = h[1:] == h[:-1]
+    again[starts] = 0
+    sums = np.concatenate([[0], np.cumsum(again)])
+    f[:, -5] = np.log1p(100 * (sums[ends] - sums[starts]) / (ends - starts + 8))
     f[:, -4] = np.log1p(sizes)
     f[:, -3] = sizes / (blanks + 1)
     f[:, -2] = single[:, 0x41:0x5B].sum(1) / np.maximum(single[:, 0x41:0x5B].sum(1) + single[:, 0x61:0x7B].sum(1), 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bagminhash, bpe, decontaminate, langid, packing, quality, secretscan, tokens
+from . import ann, bagminhash, bpe, decontaminate, langid, packing, quality, secretscan, substrings, tokencounts, tokens
 from .shared import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -14,6 +14,10 @@ def op1_token_files(spark, sf_dir):
     return packing.token_files(documents(spark, sf_dir), tokens.public_path(WORD_BPE))
 
 
+def op2_substrings(spark, sf_dir):
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.encode_decode(documents(spark, sf_dir), tokens.public_path(WORD_BPE))
 
@@ -38,18 +42,24 @@ def op8_near_duplicates(spark, sf_dir):
     return bagminhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_token_counts(spark, sf_dir):
+    return tokencounts.line_counts(documents(spark, sf_dir), tokens.public_path(WORD_BPE))
+
+
 def op10_quality(spark, sf_dir):
     return quality.rank_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_substrings": op2_substrings,
     "op3_bpe": op3_bpe,
     "op4_multi_index": op4_multi_index,
     "op5_language": op5_language,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
 SQL = {
