@@ -9,13 +9,15 @@ same point with the probability of their weighted Jaccard similarity. Points are
 order of time and only while they can still be the earliest somewhere.
 
 Registers are joined in bands. Texts that share a band are compared exactly, first with
-the least text of the band; where that leaves texts of a band in several components,
-all pairs between those components are compared, so that no link is lost.
+the least text of the band. Texts that bands join, directly or in chains, are a bag; where
+a bag is left in several components, its texts meet in blocks, and pairs of texts of
+different components are compared exactly unless their signatures differ too much.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from .textbytes import BASE, counted, groups, mix, shingles, utf8
 K, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 SLICE = 4 << 20
+BLOCK = 1_000  # texts of a bag that meet in one group with as many others
+SLACK = 4.5  # standard deviations by which signatures may fall short of the similarity
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -125,6 +129,62 @@ def alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Data
     return second.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def links_between(node: np.ndarray, own: np.ndarray, side: np.ndarray, within: bool, texts: list[bytes], k: int, similarity: float, registers: int) -> list[tuple[int, int]]:
+    """Links that join components (own) of the given texts; all pairs of different components and
+    sides (of any, if within) that the signatures leave possible are compared, the likeliest first."""
+    order = np.argsort(node)
+    node, own, side, texts = node[order], own[order], side[order], [texts[i] for i in order]
+    offsets = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), "u1")
+    bags, signature = [], []
+    for a, b in groups(offsets, SLICE):
+        d, key, n = counted(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k))
+        cut = np.searchsorted(d, np.arange(b - a + 1))
+        bags += [(key[x:y], n[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        signature.append(signatures(d, key, n, b - a, registers))
+    signature = np.concatenate(signature).astype("u4")
+    size = np.array([n.sum() for _, n in bags])
+    possible = similarity - SLACK * np.sqrt(similarity * (1 - similarity) / registers)
+    out, root = [], own.copy()
+    for i in range(1, len(node)):
+        least, most = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
+        near = np.flatnonzero((root[:i] != root[i]) & (within | (side[:i] != side[i])) & (least >= similarity * most))
+        if not len(near):
+            continue
+        alike = (signature[near] == signature[i]).mean(1)
+        near, alike = near[alike >= possible], alike[alike >= possible]
+        key, n = bags[i]
+        for j in near[np.argsort(-alike, kind="stable")].tolist():
+            if root[j] == root[i]:
+                continue
+            other, m = bags[j]
+            at = np.minimum(np.searchsorted(other, key), len(other) - 1)
+            same = other[at] == key
+            common = int(np.minimum(n[same], m[at[same]]).sum())
+            if common >= (similarity - 1e-12) * (size[i] + size[j] - common):
+                out.append((int(node[j]), int(node[i])))
+                x, y = sorted((int(root[i]), int(root[j])))
+                root[root == y] = x
+    return out
+
+
+def compared(rows: DataFrame, k: int, similarity: float, registers: int) -> DataFrame:
+    """a, b: links between components (own) of texts of one bag, from rows (node, bag, own, block, blocks, text).
+
+    A bag is cut into blocks of about BLOCK texts and each pair of blocks is one group, so
+    that a group's size is bounded, whatever a bag holds.
+    """
+    pair = lambda f, j: f(F.col("block"), j).cast("int")
+    dealt = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bag", pair(F.least, F.col("j")).alias("i"), pair(F.greatest, F.col("j")).alias("j"), "node", "own", "block", "text")
+
+    def find(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = links_between(pdf["node"].to_numpy(), pdf["own"].to_numpy(), pdf["block"].to_numpy(), key[1] == key[2], [t.encode() for t in pdf["text"]], k, similarity, registers)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("bag", "i", "j").applyInPandas(find, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id of each document: the least doc_id of its group.
 
@@ -152,12 +212,12 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     links = written(alike(stars, texts, k, similarity), "links")
     found = components(links)
 
-    owned = inside.join(found.withColumnRenamed("component", "own"), "node", "left").select("band", "node", F.coalesce("own", "node").alias("own"))
-    mixed = owned.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).filter("low <> high AND n > 2").select("band")
-    rest = owned.join(mixed, "band")
-    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.own") != F.col("y.own")))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(alike(pairs, texts, k, similarity), "links")
+    candidates = components(stars).withColumnRenamed("component", "bag")
+    owned = written(candidates.join(found.withColumnRenamed("component", "own"), "node", "left").select("node", "bag", F.coalesce("own", "node").alias("own")), "owned")
+    mixed = owned.groupBy("bag").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    mixed = mixed.select("bag", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = owned.join(mixed, "bag").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    more = written(compared(rest.join(texts, "node"), k, similarity, bands * rows), "links")
     if more.limit(1).count():
         found = components(links.union(more))
 
