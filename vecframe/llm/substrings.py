@@ -228,13 +228,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     long_enough = base.filter(F.octet_length("text") >= span)
     every = written(anchored(long_enough, span, gram), "anchors")
     known = every.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("a"), F.max("own").alias("b")).filter("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
-    shared = written(every.join(known, "key"), "shared")
+    shared = written(every.join(small(written(known, "known")), "key"), "shared")
     mixed = shared.filter("mixed").select("key", "own", "k", "at")
     kinds = written(mixed.groupBy("key", "own").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("one")), "kinds")
     twice = mixed.join(kinds.filter("n > 1").select("key", "own"), ["key", "own"], "left_semi")
     spans = [shared.filter("NOT mixed"), twice]
     found = [x.select("k", of_context(F.col("at"), span).alias("span")) for x in spans]
-    shards = kinds.groupBy("key").agg(F.ceil(F.count("*") / hot).alias("shards"))
+    shards = small(written(kinds.groupBy("key").agg(F.ceil(F.count("*") / hot).alias("shards")), "shards"))
     chosen = kinds.join(shards, "key").select("key", "one.k", "one.at", "n", "shards", F.pmod(F.xxhash64("own"), F.col("shards")).alias("shard"))
     unique = long_enough.select("k", "text")
     cuts = written(cut(chosen, unique, span), "contexts")
