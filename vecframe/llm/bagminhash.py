@@ -8,14 +8,16 @@ below the shingle's count there. A register keeps its earliest point. Two texts
 same point with the probability of their weighted Jaccard similarity. Points are made in
 order of time and only while they can still be the earliest somewhere.
 
-Registers are joined in bands. Texts that share a band are compared exactly, first with
-the least text of the band. Texts that bands join, directly or in chains, are a bag; where
+Registers are joined in bands. Texts that share many bands with the least text of these
+bands are compared with it exactly. Texts that bands join, directly or in chains, are a bag; where
 a bag is left in several components, its texts meet in blocks, and pairs of texts of
 different components are compared exactly unless their signatures differ too much.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -202,14 +204,15 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader")
     inside = written(banded.join(shared, "band"), "bands")
-    stars = inside.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(inside.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")), "stars")
+    likely = stars.filter(F.col("n") >= max(1, math.ceil(bands * similarity**rows / 2))).select("a", "b")  # half the bands that similar texts share
     wanted = small(written(inside.select("node").distinct(), "wanted"))
     one_text = F.struct("t1", "t2")
     chosen = nodes.select("node", "t1", "t2").join(wanted, "node")
     texts = base.select("doc_id", "text").join(small(chosen.select(F.col("node").alias("doc_id"), one_text.alias("of"))), "doc_id")
     texts = texts.filter(F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2")) == F.col("of"))
     texts = written(texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "texts")
-    links = written(alike(stars, texts, k, similarity), "links")
+    links = written(alike(likely, texts, k, similarity), "links")
     found = components(links)
 
     candidates = components(stars).withColumnRenamed("component", "bag")
