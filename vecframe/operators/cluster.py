@@ -22,7 +22,7 @@ def assign(vector: Column, centroids: Centroids, metric: Metric = Metric.L2) ->
     def nearest(v: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
             d = dense.distance(metric, v, c)
-            return F.struct((-d if metric.higher_is_better else d).alias("d"), i.alias("cluster"))
+            return F.named_struct(F.lit("d"), -d if metric.higher_is_better else d, F.lit("cluster"), i)
 
         return F.array_min(F.transform(literal(centroids), one))
 

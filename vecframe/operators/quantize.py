@@ -119,8 +119,10 @@ class ProductQuantizer:
         return cls(book)
 
     def parts(self, df: DataFrame, vector: str) -> DataFrame:
-        subs = df.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(self.m - 1)), lambda s: F.slice(F.col(vector).cast("array<double>"), s * self.width + 1, self.width))).alias("sub", "v"), self.encode(F.col(vector)).alias("codes"))
-        return subs.select("sub", F.get("codes", F.col("sub")).alias("code"), F.posexplode("v").alias("i", "x"))
+        coded = df.select(F.col(vector).cast("array<double>").alias("v"), self.encode(F.col(vector)).alias("codes"))
+        cut = F.transform(F.sequence(F.lit(0), F.lit(self.m - 1)), lambda s: F.slice("v", s * self.width + 1, self.width))
+        subs = coded.select("codes", F.posexplode(cut).alias("sub", "part"))
+        return subs.select("sub", F.get("codes", F.col("sub")).alias("code"), F.posexplode("part").alias("i", "x"))
 
     def sub(self, v: Column, s: int) -> Column:
         return F.slice(v, s * self.width + 1, self.width)
