@@ -27,7 +27,6 @@ SLICE = 1 << 20
 REJECT_DEVIATIONS = 8.0
 
 _letters: list[np.ndarray] = []
-_index: dict[int, np.ndarray] = {}
 
 
 def letters() -> np.ndarray:
@@ -198,17 +197,18 @@ class LanguageModel:
         self.log_left = np.stack([np.log(m[1]) for m in made], 1).astype("f4") if made else None
         self.log_lower = np.stack([np.log(m[2]) for m in made], 1).astype("f4") if made else None
         self.temperature = 1.0
+        self.places: np.ndarray | None = None
         self.reject_from = np.full(len(self.languages), np.inf)
 
     def _at(self) -> np.ndarray:
-        """The place of each n-gram among those seen, or -1; made once in a worker."""
-        key = id(self)
-        if key not in _index:
-            _index.clear()
-            at = np.full(1 << (BITS * ORDER), -1, "i4")
-            at[self.seen] = np.arange(len(self.seen))
-            _index[key] = at
-        return _index[key]
+        """The place of each n-gram among those seen, or -1; made once for a worker's copy of the model."""
+        if self.places is None:
+            self.places = np.full(1 << (BITS * ORDER), -1, "i4")
+            self.places[self.seen] = np.arange(len(self.seen))
+        return self.places
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"places": None}
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the nats per class in each language, and whether it has letters."""
