@@ -30,7 +30,7 @@ from .textbytes import BASE, counted, groups, mix, shingles, utf8
 
 K, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
-SLICE = 4 << 20
+SLICE = 2 << 20
 BLOCK = 1_000  # texts of a bag that meet in one group with as many others
 SLACK = 4.5  # standard deviations by which signatures may fall short of the similarity
 
