@@ -165,6 +165,21 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(frame.limit(0)).count() == 0
 
 
+def test_rejection_of_frequent_and_rare_languages(spark):
+    rng = np.random.default_rng(3)
+    latin, greek, cyrillic = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцч"
+    words = {a: ["".join(rng.choice(list(a), rng.integers(2, 8))) for _ in range(80)] for a in (latin, greek, cyrillic)}
+    say = lambda a, n: " ".join(rng.choice(words[a], n))
+    junk = lambda a, n: " ".join("".join(rng.choice(list(a), 5)) for _ in range(n))
+    rows = [(say(latin, int(rng.integers(1, 60))), "la") for _ in range(3000)] + [(say(greek, 30), "el") for _ in range(38)] + [(say(cyrillic, 30), "ru") for _ in range(15)]
+    good = [say(a, n) for a in (latin, greek, cyrillic) for n in (1, 2, 3, 12, 40) for _ in range(8)]
+    bad = [junk(a, 40) for a in (latin, greek, cyrillic) for _ in range(8)] + [f"{say(latin, 20)} {junk(latin, 20)}" for _ in range(8)]
+    docs = [(k, *r) for k, r in enumerate(rows)] + [(None, t, "good") for t in good] + [(None, t, "bad") for t in bad]
+    got = langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), keep=["lang", "text"]).collect()
+    assert [r.kept_1 for r in got if r.kept_0 == "bad" and not r.rejected] == []
+    assert [r.kept_1 for r in got if r.kept_0 != "bad" and r.rejected] == []
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(0)
     codes, n = np.unique(rng.integers(0, 6, 4000) * 266305 % (1 << 24), return_counts=True)

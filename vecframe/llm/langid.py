@@ -7,7 +7,9 @@ whatever the corpus holds. n-grams of all training documents are counted by lang
 the models keep the codes of seen n-grams in a sorted array with a row of log
 probabilities, and back off through dense tables of the lower orders. A text gets the
 language of the lowest cross-entropy per character. A labelled sample of bounded size
-calibrates the score and the cross-entropy from which a text is rejected.
+calibrates the score. The cross-entropy from which a text is rejected is calibrated by
+language on all training documents, each scored as if the n-grams that it alone has were
+unseen, and rises for texts shorter than those.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ CALIBRATION_ROWS = 2_000
 SLICE = 1 << 20
 #: Standard deviations above the mean cross-entropy of a language from which texts are rejected.
 REJECT_DEVIATIONS = 8.0
+#: The least training rows of a language with a mean and deviation of its own.
+LEVEL_ROWS = 20
 
 _letters: list[np.ndarray] = []
 
@@ -196,9 +200,13 @@ class LanguageModel:
         self.log_p = np.stack([m[0] for m in made], 1).astype("f4") if made else np.zeros((0, 0), "f4")
         self.log_left = np.stack([np.log(m[1]) for m in made], 1).astype("f4") if made else None
         self.log_lower = np.stack([np.log(m[2]) for m in made], 1).astype("f4") if made else None
+        self.counts = np.zeros((len(self.seen), len(self.languages)), "u1")  # up to 255
+        for k, x in enumerate(self.languages):
+            own = np.flatnonzero(lang == x)
+            self.counts[np.searchsorted(self.seen, gram[own]), k] = np.minimum(n[own], 255)
         self.temperature = 1.0
         self.places: np.ndarray | None = None
-        self.reject_from = np.full(len(self.languages), np.inf)
+        self.levels = np.tile([np.log(CLASSES), 0.0, 0.0], (len(self.languages), 1))  # mean, deviation, log2 of the usual length
 
     def _at(self) -> np.ndarray:
         """The place of each n-gram among those seen, or -1; made once for a worker's copy of the model."""
@@ -210,10 +218,20 @@ class LanguageModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"places": None}
 
-    def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the nats per class in each language, and whether it has letters."""
+    def _alone(self, codes: np.ndarray, k: np.ndarray, who: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Where the text has all that its own language has of an n-gram (up to 255)."""
+        n = np.where(k < 0, 0, self.counts[k, own[who]])
+        few = np.flatnonzero((n > 0) & (n < 255))
+        _, at, times = np.unique((who[few].astype("i8") << (BITS * ORDER)) | codes[few], return_inverse=True, return_counts=True)
+        return few[times[at] >= n[few]]
+
+    def cross_entropies(self, texts: list[str | None], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the nats per class in each language, whether it has letters, and its classes.
+
+        With `own`, the languages of training texts, n-grams that a text alone has count as unseen.
+        """
         at, table = self._at(), class_table(self.frequent)
-        out, lettered = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
+        out, lettered, lengths = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool), np.zeros(len(texts), "i8")
         for a, b in pieces(texts):
             classes, ends = sequences(texts[a:b], table)
             starts = np.concatenate([[0], ends[:-1]]) + ORDER - 1  # the places that are predicted
@@ -230,15 +248,18 @@ class LanguageModel:
                 k = at[codes]
                 logs = self.log_p[k]
                 new = np.flatnonzero(k < 0)
+                if own is not None:
+                    new = np.concatenate([new, self._alone(codes, k, who, own[a:b])])
                 logs[new] = self.log_left[codes[new] >> BITS] + self.log_lower[codes[new] & ((1 << (BITS * (ORDER - 1))) - 1)]
                 first = np.flatnonzero(np.diff(who, prepend=-1))
                 if len(first):
                     sums[who[first]] += np.add.reduceat(logs, first, axis=0, dtype="f8")
             out[a:b] = -sums / (ends - starts)[:, None]
-        return out, lettered
+            lengths[a:b] = ends - starts
+        return out, lettered, lengths
 
     def calibrate(self, entropies: np.ndarray, truth: np.ndarray) -> None:
-        """Fits the temperature by likelihood, and the rejection level of each language."""
+        """Fits the temperature by likelihood."""
         if not len(truth):
             return
         best = np.inf
@@ -248,23 +269,38 @@ class LanguageModel:
             loss = -(z[np.arange(len(truth)), truth] - np.log(np.exp(z).sum(1))).mean()
             if loss < best:
                 best, self.temperature = loss, float(t)
-        own = entropies[np.arange(len(truth)), truth]
+
+    def calibrate_rejection(self, sums: np.ndarray) -> None:
+        """Sets the levels from each language's rows, own cross-entropies, their squares, and log2 of lengths, summed.
+
+        A language of under LEVEL_ROWS rows gets the level of all together; if these are as
+        few, nothing can be calibrated and only texts worse than a uniform guess are rejected.
+        """
+        pooled = sums.sum(0)
         for k in range(len(self.languages)):
-            x = own[truth == k]
-            if len(x) >= 20:
-                self.reject_from[k] = max(x.mean() + REJECT_DEVIATIONS * x.std(), np.log(CLASSES))
+            n, total, squares, length = sums[k] if sums[k, 0] >= LEVEL_ROWS else pooled
+            if n >= LEVEL_ROWS:
+                self.levels[k] = total / n, np.sqrt(max(squares / n - (total / n) ** 2, 0.0)), length / n
+
+    def reject_from(self, k: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The cross-entropies from which texts of these languages and lengths are rejected.
+
+        Below the usual length the deviation grows as that of a mean of so many classes.
+        """
+        mean, deviation, usual = self.levels[k].T
+        return mean + REJECT_DEVIATIONS * deviation * np.sqrt(np.maximum(2**usual / np.maximum(lengths, 1), 1))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score from 0 to 1, cross-entropy, and whether the text is rejected."""
         if not self.languages:
             none = np.zeros(len(texts))
             return ["und"] * len(texts), none, none, np.ones(len(texts), bool)
-        h, lettered = self.cross_entropies(texts)
+        h, lettered, lengths = self.cross_entropies(texts)
         best = h.argmin(1)
         low = h[np.arange(len(h)), best] if len(h) else np.zeros(0)
         z = np.exp(-(h - low[:, None]) * self.temperature)
         score = np.where(lettered, 1 / z.sum(1), 0.0)
-        rejected = ~lettered | (low > self.reject_from[best])
+        rejected = ~lettered | (low > self.reject_from(best, lengths))
         return [self.languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)], score, low, rejected
 
 
@@ -279,11 +315,26 @@ def fit(train: DataFrame) -> LanguageModel:
 
     def entropies(batches):
         for batch in batches:
-            h, ok = shared.value.cross_entropies(batch.column(1).to_pylist())
+            h, ok, _ = shared.value.cross_entropies(batch.column(1).to_pylist())
             names = {x: k for k, x in enumerate(shared.value.languages)}
             own = np.array([names[x] for x in batch.column(0).to_pylist()], "i8")
             yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(list(h[ok]), pa.list_(pa.float64()))], ["own", "h"])
 
+    def own_sums(batches):
+        names = {x: k for k, x in enumerate(shared.value.languages)}
+        sums = np.zeros((len(names), 4))
+        for batch in batches:
+            own = np.array([names[x] for x in batch.column(0).to_pylist()], "i8")
+            h, ok, lengths = shared.value.cross_entropies(batch.column(1).to_pylist(), own)
+            own, h, lengths = own[ok], h[np.arange(len(own)), own][ok], lengths[ok]
+            for k, x in enumerate((np.ones(len(h)), h, h * h, np.log2(lengths))):
+                sums[:, k] += np.bincount(own, x, len(sums))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), *(pa.array(x) for x in sums.T.copy())], ["own", "n", "h", "hh", "length"])
+
+    sums = np.zeros((len(model.languages), 4))
+    for r in train.select("lang", "text").mapInArrow(own_sums, "own long, n double, h double, hh double, length double").groupBy("own").agg(*(F.sum(c).alias(c) for c in ("n", "h", "hh", "length"))).collect():
+        sums[r.own] = r.n, r.h, r.hh, r.length
+    model.calibrate_rejection(sums)
     rows = bounded_sample(train, "doc_id", CALIBRATION_ROWS).select("lang", "text").mapInArrow(entropies, "own long, h array<double>").collect()
     model.calibrate(np.array([r.h for r in rows]).reshape(-1, len(model.languages)), np.array([r.own for r in rows], "i8"))
     return model
