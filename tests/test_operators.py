@@ -102,6 +102,21 @@ def test_clustering(spark, blobs):
     assert [k for k, _ in curve] == [1, 2, 3] and curve[0][1] > curve[2][1]
 
 
+def test_minibatch_step_draws_from_the_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("pk"), F.col("embedding").alias("vector"))
+    rows = df.select("pk", "vector", F.xxhash64(F.lit(7), F.lit(2), F.col("pk")).alias("h")).collect()
+    x = {r.pk: np.array(r.vector, "f8") for r in rows}
+    start = [x[k] for k in sorted(x)[:4]]
+    drawn = [r.pk for r in sorted(rows, key=lambda r: (r.h, r.pk))[:100]]
+    assert drawn != sorted(x)[:100]
+    want, n = [c.copy() for c in start], [3] * 4
+    for k in range(4):
+        own = [x[pk] for pk in drawn if np.argmin([((x[pk] - c) ** 2).sum() for c in start]) == k]
+        want[k], n[k] = (start[k] * 3 + sum(own)) / (3 + len(own)), 3 + len(own)
+    got, counts = cluster.minibatch_step(df, [c.tolist() for c in start], [3] * 4, 100, step=2, seed=7)
+    assert counts == n and np.allclose(got, want, rtol=0, atol=1e-9)
+
+
 def test_ivf(spark, blobs, tmp_path):
     index = ivf.IvfIndex.train(blobs, params=ivf.IvfParams(3, 3))
     index.save(blobs, str(tmp_path / "ivf"))

@@ -37,6 +37,12 @@ def test_entry(spark):
     assert set(REGISTRY) - set(SQL) == SLOW
 
 
+@pytest.mark.parametrize("name", ["knn_batch_50", "knn_batch_arrow_50", "ivf_batch_50"])
+def test_each_50th_row_of_the_table_is_a_query(spark, name):
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    assert {r.qid for r in REGISTRY[name][0](spark, SF).collect()} == {i for i in ids if i % 50 == 0}
+
+
 def test_the_rest_works_without_the_subpackage():
     code = "import sys; sys.modules['vecframe.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'knn_l2' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))

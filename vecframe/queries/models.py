@@ -73,6 +73,18 @@ IVF_BATCH = f"""WITH {EMB}, {ASSIGNED}, o AS (SELECT e.pk AS qid, e.vector AS qv
     SELECT qid, CAST(rank AS INTEGER) AS rank, pk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, pk) AS rank FROM s) WHERE rank <= 5"""
 
 
+def ivf_batch_50(spark, d):
+    """Each 50th row as a query against all rows."""
+    i, df = index(spark, d), vectors(spark, d)
+    queries = df.filter("pk % 50 = 0").select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
+    return i.batch_search(i.bucketed(df), queries, 5, digits=DIGITS)
+
+
+IVF_BATCH_50 = f"""WITH {EMB}, {ASSIGNED}, o AS (SELECT e.pk AS qid, e.vector AS qvec, n.cluster, row_number() OVER (PARTITION BY e.pk ORDER BY {l2('e.vector', 'n.cv')}, n.cluster) AS r FROM emb e, n WHERE e.pk % 50 = 0),
+    s AS (SELECT qid, pk, round({l2('vector', 'qvec')}, {DIGITS}) AS score FROM a JOIN o USING (cluster) WHERE r <= 3)
+    SELECT qid, CAST(rank AS INTEGER) AS rank, pk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, pk) AS rank FROM s) WHERE rank <= 5"""
+
+
 def book(spark, d) -> quantize.ProductQuantizer:
     rows = centroids(spark, d, CODES)
     return quantize.ProductQuantizer([[r[s * WIDTH : (s + 1) * WIDTH] for r in rows] for s in range(M)])
@@ -190,6 +202,7 @@ REGISTRY = {
     "ivf_probe": ivf_probe(3),
     "ivf_exhaustive": ivf_probe(K),
     "ivf_batch": (ivf_batch, IVF_BATCH),
+    "ivf_batch_50": (ivf_batch_50, IVF_BATCH_50),
     "pq_encode": (pq_encode, f"WITH {EMB}, {CODED} SELECT pk, s, code FROM e"),
     "pq_decode_error": (pq_error, f"WITH {EMB}, {CODED} SELECT pk, round(sum(d), {DIGITS}) AS error FROM e GROUP BY pk"),
     "pq_adc_topk": (pq_adc, PQ_ADC),

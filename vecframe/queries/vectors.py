@@ -53,13 +53,13 @@ def batch(kernel: str):
     return run, sql
 
 
-def batch_all(metric: Metric, every: int):
+def batch_all(metric: Metric, every: int, kernel: str = "auto"):
     """All embeddings as the corpus, each `every`-th as a query: the throughput query."""
 
     def run(spark, d):
         df = vectors(spark, d)
         queries = df.filter(F.col("pk") % every == 0).select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
-        return search.batch_knn(df, queries, 10, metric, digits=DIGITS)
+        return search.batch_knn(df, queries, 10, metric, kernel=kernel, digits=DIGITS)
 
     s = {"l2": l2, "cosine": cos}[metric.value]("b.vector", "a.vector")
     way = "DESC" if metric.higher_is_better else "ASC"
@@ -203,6 +203,8 @@ REGISTRY = {
     **{f"knn_{m.value}": knn(m) for m in Metric},
     "knn_batch": batch("expression"),
     "knn_batch_arrow": batch("arrow"),
+    "knn_batch_50": batch_all(Metric.L2, 50, "expression"),
+    "knn_batch_arrow_50": batch_all(Metric.L2, 50, "arrow"),
     "knn_batch_all": batch_all(Metric.L2, 4),
     "knn_batch_cosine": batch_all(Metric.COSINE, 10),
     "range_within": (within, f"WITH {EMB} SELECT pk, round({l2('vector', q(1))}, {DIGITS}) AS score FROM emb WHERE round({l2('vector', q(1))}, {DIGITS}) <= 1.6"),
