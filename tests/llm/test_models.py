@@ -89,6 +89,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert bagminhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = np.random.default_rng(8)
+    say = lambda first: " ".join([first, *(f"w{x}" for x in rng.integers(0, 500, 99))])
+    a, b, c = say("a"), say("b"), say("c")
+    docs = [(5, a), (5, b), (7, b), (9, b + " more"), (30, c), (30, a + " more"), (31, c + " more"), (2, "!!"), (40, c), (2, say("d")), (50, "!!"), (50, b)]
+    rows = bagminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(rows) == len(docs) and {(r.doc_id, r.class_id) for r in rows} == set(classes(docs).items())
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     element = rng.integers(1, 1 << 48, 300).astype("u8")

@@ -201,6 +201,10 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     signs = written(signed(base.filter("doc_id IS NOT NULL"), k, bands, rows), "signatures")
     worded = signs.filter(F.size("bands") > 0)
     nodes = written(worded.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    held = signs.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("low"), F.max(F.struct("t1", "t2")).alias("high"))
+    several = small(written(held.filter("low <> high").select("doc_id"), "several"))  # doc_ids with different texts
+    joint = worded.select("doc_id", "t1", "t2").join(several, "doc_id").distinct().join(nodes.select("t1", "t2", "node"), ["t1", "t2"])
+    joint = joint.join(joint.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader")
     inside = written(banded.join(shared, "band"), "bands")
@@ -211,8 +215,8 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     chosen = nodes.select("node", "t1", "t2").join(wanted, "node")
     texts = base.select("doc_id", "text").join(small(chosen.select(F.col("node").alias("doc_id"), one_text.alias("of"))), "doc_id")
     texts = texts.filter(F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2")) == F.col("of"))
-    texts = written(texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "texts")
-    links = written(alike(likely, texts, k, similarity), "links")
+    texts = written(texts.groupBy(F.col("doc_id").alias("node"), "of").agg(F.min("text").alias("text")).drop("of"), "texts")  # all of a node's texts
+    links = written(alike(likely, texts, k, similarity).union(joint), "links")
     found = components(links)
 
     candidates = components(stars).withColumnRenamed("component", "bag")
@@ -226,6 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
 
     classes = nodes.select("t1", "t2", "node").join(found, "node", "left").select("t1", "t2", F.coalesce("component", "node").alias("class_id"))
     members = worded.select("doc_id", "t1", "t2").join(classes, ["t1", "t2"]).select("doc_id", "class_id")
-    alone = signs.filter(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"))
+    worded_class = members.join(several, "doc_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    alone = signs.filter(F.size("bands") == 0).select("doc_id").join(worded_class, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     unnamed = base.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return members.unionByName(alone).unionByName(unnamed)
