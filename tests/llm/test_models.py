@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vecframe.llm import ann, bagminhash, components, langid, quality, tokencounts, tokens
+from vecframe.llm import ann, bagminhash, components, langid, quality, queries, tokencounts, tokens
 
 PATH = tokens.public_path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.01"
@@ -35,6 +35,19 @@ def test_token_counts_against_the_library(spark, rule):
         assert sorted((str(r.doc_id), r.section, r.start_char, round(float(r.n_tokens), 9)) for r in got) == sorted(want)
 
 
+def test_registered_sections_are_crossed_by_tokens(spark):
+    sf, registered = "/root/testdata/sf0.001", queries.QUERIES
+    lines, got = ([(r.doc_id, r.section, r.n_tokens) for r in registered[n](spark, sf).collect()] for n in ("op9_token_counts", "op9_token_stretches"))
+    totals = [Counter() for _ in range(2)]
+    for total, rows in zip(totals, (lines, got), strict=True):
+        for doc, _, n in rows:
+            total[doc] += n
+    assert totals[0] == totals[1]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    other = tokencounts.line_counts(docs, PATH, next(r for r in tokencounts.RULES if r != "start"), queries.STRETCH)
+    assert sorted(got) != sorted((r.doc_id, r.section, r.n_tokens) for r in other.collect())
+
+
 def test_field_counts(spark):
     frame = spark.createDataFrame([(1, "one two", None, "three"), (2, None, None, None)], "id long, a string, b string, key string")
     got = {(r.id, r.field): r.n_tokens for r in tokencounts.field_counts(frame, "id", ["a", "b", "key"], PATH).collect()}

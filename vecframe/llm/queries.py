@@ -8,6 +8,8 @@ from . import ann, bagminhash, bpe, decontaminate, langid, packing, quality, sec
 from .shared import documents
 
 WORD_BPE = "word_bpe_49k.json"
+#: Characters of a section whose bounds fall inside words.
+STRETCH = 100
 
 
 def op1_token_files(spark, sf_dir):
@@ -46,6 +48,11 @@ def op9_token_counts(spark, sf_dir):
     return tokencounts.line_counts(documents(spark, sf_dir), tokens.public_path(WORD_BPE))
 
 
+def op9_token_stretches(spark, sf_dir):
+    """Sections that tokens cross, unlike lines."""
+    return tokencounts.line_counts(documents(spark, sf_dir), tokens.public_path(WORD_BPE), width=STRETCH)
+
+
 def op10_quality(spark, sf_dir):
     return quality.rank_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -60,6 +67,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
+    "op9_token_stretches": op9_token_stretches,
     "op10_quality": op10_quality,
 }
 SQL = {
