@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Broadcast joins are asked for only when the counted rows of a side stay below this.
-BROADCAST_ROWS = 500_000
+#: Broadcast joins are asked for only when a side takes at most so many bytes, as summed over its rows.
+BROADCAST_BYTES = 48 << 20
+
+#: Bytes of an Arrow batch between Spark and Python, so that long texts don't pile up in a batch of many rows.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_written: list[str] = []
+_state: dict = {}
+
+
+def worker_state(key, make=lambda: None):
+    """What make() gives, kept by this Python worker until another key is asked for.
+
+    Workers are reused, so that an operator's tables would else stay while others run.
+    """
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of bytes in an Arrow batch to BATCH_BYTES, for what the operators run and return."""
+    now = str(spark.conf.get(BATCH_SETTING)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """path as Hadoop's Path with scheme, and its file system; without a scheme it is in the default one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(p), fs
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset, a local session gets a temporary folder; any other
-    session is an error, as a machine-local folder would lose files on a cluster.
+    A folder without a scheme is in Hadoop's default file system. Where the setting is unset,
+    a local session gets a temporary folder; any other session is an error, as a
+    machine-local folder would lose files on a cluster. Folders go when the session ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -25,22 +60,57 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="vecframe-")
         spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/vecframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path, fs = hadoop_path(spark, f"{base.rstrip('/')}/vecframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    fs.deleteOnExit(path)
+    uri = path.toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    With keep, the table outlives scratch().
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    if not keep:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted), else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go at its end; what is built on them must be written, to be kept, by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for p in _written[before:]:
+            path, fs = hadoop_path(spark, p)
+            fs.delete(path, True)
+        del _written[before:]
+
+
+def width(c: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a broadcast table."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((width(c[f.name], f.dataType) for f in kind.fields), F.lit(24).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + width(x, kind.elementType)), F.lit(0).cast("long")) + 24
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most so many bytes (summed), else df as it is.
+
+    Give it written tables, as they are read once more. Without the hint the join is by
+    shuffle, where Spark splits the partitions of hot keys (spark.sql.adaptive.skewJoin).
+    """
+    total = df.agg(F.sum(sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(32).cast("long"))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= most else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +122,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def as_long(unsigned: Column) -> Column:
-    return unsigned.cast(T.LongType())
-
-
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About `rows` rows of df (all, if it has no more), chosen by a hash of key.
 
