@@ -8,10 +8,12 @@ below the shingle's count there. A register keeps its earliest point. Two texts
 same point with the probability of their weighted Jaccard similarity. Points are made in
 order of time and only while they can still be the earliest somewhere.
 
-Registers are joined in bands. Texts that share many bands with the least text of these
-bands are compared with it exactly. Texts that bands join, directly or in chains, are a bag; where
-a bag is left in several components, its texts meet in blocks, and pairs of texts of
-different components are compared exactly unless their signatures differ too much.
+Registers are joined in bands, and texts that share a band are candidates. Texts that
+share many bands with the least text of these bands are compared with it exactly, and the
+links found make components. Where the texts of a band are then of several components,
+those outside its largest component meet all texts of the band in blocks: first as
+signatures, then, where signatures leave it possible, as texts. So a group of copies costs
+its size, not the square of it, and no pair of candidates between components is left out.
 """
 
 from __future__ import annotations
@@ -19,19 +21,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small, written
+from .shared import bounded_batches, id_and_text, small, worker_state, written
 from .textbytes import BASE, counted, groups, mix, shingles, utf8
 
 K, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
-SLICE = 2 << 20
-BLOCK = 1_000  # texts of a bag that meet in one group with as many others
+SLICE = 1 << 19
+BLOCK = 1_000  # texts of a band that meet in one group with as many others
+BLOCK_BYTES = 8 << 20  # of their texts
 SLACK = 4.5  # standard deviations by which signatures may fall short of the similarity
 
 
@@ -92,24 +94,30 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, t1, t2 (a hash of the text), bands (keys; none for a text without words)."""
+    """doc_id, t1, t2 (a hash of the text), bands (keys; none for a text without words), signature (16 bits
+    a register) and size (shingles)."""
+    registers = bands * rows
+    names = ["doc_id", "t1", "t2", "bands", "signature", "size"]
 
     def sign(batches):
+        worker_state("signatures")
         for batch in batches:
             data, offsets = utf8(batch.column(3))
             for a, b in groups(offsets, SLICE):
-                for a2 in range(a, b, 60_000):  # counted() takes up to 65536 texts
-                    b2 = min(b, a2 + 60_000)
+                for a2 in range(a, b, 10_000):  # counted() takes up to 65536 texts
+                    b2 = min(b, a2 + 10_000)
                     h, doc = shingles(data[offsets[a2] : offsets[b2]], offsets[a2 : b2 + 1] - offsets[a2], k)
-                    s = signatures(*counted(h, doc), b2 - a2, bands * rows)
-                    has = np.bincount(doc, minlength=b2 - a2) > 0
-                    keys = band_keys(s, bands).view("i8")[has]
-                    ends = np.concatenate([[0], np.cumsum(has * bands)]).astype("i4")
+                    s = signatures(*counted(h, doc), b2 - a2, registers)
+                    size = np.bincount(doc, minlength=b2 - a2)
+                    keys = band_keys(s, bands).view("i8")[size > 0]
+                    ends = np.concatenate([[0], np.cumsum((size > 0) * bands)]).astype("i4")
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([*(c[a2:b2] for c in batch.columns[:3]), lists], ["doc_id", "t1", "t2", "bands"])
+                    at = np.arange(b2 - a2 + 1, dtype="i4") * (2 * registers)
+                    low = pa.Array.from_buffers(pa.binary(), b2 - a2, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(s.astype("<u2").tobytes())])
+                    yield pa.RecordBatch.from_arrays([*(c[a2:b2] for c in batch.columns[:3]), lists, low, pa.array(size)], names)
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2"), "text")
-    return hashed.mapInArrow(sign, "doc_id long, t1 long, t2 long, bands array<long>")
+    return hashed.mapInArrow(sign, "doc_id long, t1 long, t2 long, bands array<long>, signature binary, size long")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -131,60 +139,131 @@ def alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Data
     return second.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def links_between(node: np.ndarray, own: np.ndarray, side: np.ndarray, within: bool, texts: list[bytes], k: int, similarity: float, registers: int) -> list[tuple[int, int]]:
-    """Links that join components (own) of the given texts; all pairs of different components and
-    sides (of any, if within) that the signatures leave possible are compared, the likeliest first."""
-    order = np.argsort(node)
-    node, own, side, texts = node[order], own[order], side[order], [texts[i] for i in order]
-    offsets = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts), "u1")
-    bags, signature = [], []
+def dealt(rows: DataFrame, bytes_column: str | None = None) -> DataFrame:
+    """rows (band, node, own, ...) of bands with several components, as groups (band, i, j).
+
+    A group holds a block of the band's texts (asks false) and a block of those outside its
+    largest component (asks true), each of at most about BLOCK texts, or BLOCK_BYTES of
+    the column named. minor says whether a text is outside the largest component.
+    """
+    volume = F.col(bytes_column) if bytes_column else F.lit(0)
+    each = rows.groupBy("band", "own").agg(F.count("*").alias("n"), F.sum(volume).alias("v"))
+    total = each.groupBy("band").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max(F.struct("n", "own", "v")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+    blocks = lambda n, v: F.greatest(F.ceil(n / BLOCK), F.ceil(v / BLOCK_BYTES), F.lit(1)).cast("int")
+    mixed = total.select("band", F.col("most.own").alias("major"), blocks(F.col("n"), F.col("v")).alias("is"), blocks(F.col("n") - F.col("most.n"), F.col("v") - F.col("most.v")).alias("js"))
+    held = rows.join(small(written(mixed, "mixed")), "band").withColumn("minor", F.col("own") != F.col("major"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = held.withColumn("asks", F.lit(False)).withColumn("i", part("is")).withColumn("j", every("js"))
+    asking = held.filter("minor").withColumn("asks", F.lit(True)).withColumn("j", part("js")).withColumn("i", every("is"))
+    return asked.unionByName(asking).drop("is", "js", "major")
+
+
+def in_groups(rows: DataFrame, find, schema: str) -> DataFrame:
+    """What find(table, starts) yields for tables of whole groups (band, i, j) that start at the given rows."""
+    names = rows.columns
+
+    def search(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([table.column(c).to_numpy() for c in ("band", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            if len(cuts):
+                yield from find(table.slice(0, cuts[-1]), np.concatenate([[0], cuts[:-1]]))
+                held = table.slice(cuts[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from find(table, np.array([0]))
+
+    return rows.select(*names).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(search, schema)
+
+
+def candidates(asks: int, at: np.ndarray, own: np.ndarray, node: np.ndarray, minor: np.ndarray, size: np.ndarray, signature: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows `at`, those of other components that may be similar enough to row `asks`, and their share of equal registers."""
+    at = at[(own[at] != own[asks]) & (~minor[at] | (node[at] < node[asks]))]
+    at = at[np.minimum(size[at], size[asks]) >= similarity * np.maximum(size[at], size[asks])]
+    equal = (signature[at] == signature[asks]).mean(1)
+    near = equal >= similarity - SLACK * np.sqrt(similarity * (1 - similarity) / signature.shape[1])
+    return at[near], equal[near]
+
+
+def _columns(table: pa.Table, registers: int) -> dict[str, np.ndarray]:
+    out = {c: table.column(c).to_numpy() for c in ("band", "node", "own", "minor", "asks", "size")}
+    raw = b"".join(table.column("signature").to_pylist())
+    return out | {"signature": np.frombuffer(raw, "<u2").reshape(len(table), registers)}
+
+
+def possible(rows: DataFrame, similarity: float, registers: int) -> DataFrame:
+    """band, node of the texts that may have a similar text of another component in the band."""
+
+    def find(table, starts):
+        c = _columns(table, registers)
+        hit = np.zeros(len(table), bool)
+        for s, e in zip(starts, [*starts[1:], len(table)], strict=True):
+            asks = c["asks"][s:e]
+            asked = s + np.flatnonzero(~asks)
+            for q in (s + np.flatnonzero(asks)).tolist():
+                near, _ = candidates(q, asked, c["own"], c["node"], c["minor"], c["size"], c["signature"], similarity)
+                if len(near):
+                    hit[q] = hit[near] = True
+        yield pa.RecordBatch.from_arrays([pa.array(c["band"][hit]), pa.array(c["node"][hit])], ["band", "node"])
+
+    return in_groups(rows, find, "band long, node long")
+
+
+def links_between(c: dict[str, np.ndarray], texts: list[str], k: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join components of a group's texts: each possible pair is compared, the likeliest first,
+    unless links found before have joined its components."""
+    distinct = {t: n for n, t in enumerate(dict.fromkeys(texts))}
+    raw = [t.encode() for t in distinct]
+    offsets = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), "u1")
+    bags = []
     for a, b in groups(offsets, SLICE):
         d, key, n = counted(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k))
         cut = np.searchsorted(d, np.arange(b - a + 1))
         bags += [(key[x:y], n[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        signature.append(signatures(d, key, n, b - a, registers))
-    signature = np.concatenate(signature).astype("u4")
-    size = np.array([n.sum() for _, n in bags])
-    possible = similarity - SLACK * np.sqrt(similarity * (1 - similarity) / registers)
-    out, root = [], own.copy()
-    for i in range(1, len(node)):
-        least, most = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
-        near = np.flatnonzero((root[:i] != root[i]) & (within | (side[:i] != side[i])) & (least >= similarity * most))
-        if not len(near):
-            continue
-        alike = (signature[near] == signature[i]).mean(1)
-        near, alike = near[alike >= possible], alike[alike >= possible]
-        key, n = bags[i]
-        for j in near[np.argsort(-alike, kind="stable")].tolist():
-            if root[j] == root[i]:
+    bag = [bags[distinct[t]] for t in texts]
+    asked = np.flatnonzero(~c["asks"])
+    out, root = [], c["own"].copy()
+    for q in np.flatnonzero(c["asks"]).tolist():
+        near, equal = candidates(q, asked, root, c["node"], c["minor"], c["size"], c["signature"], similarity)
+        key, n = bag[q]
+        for j in near[np.argsort(-equal, kind="stable")].tolist():
+            if root[j] == root[q]:
                 continue
-            other, m = bags[j]
+            other, m = bag[j]
             at = np.minimum(np.searchsorted(other, key), len(other) - 1)
             same = other[at] == key
             common = int(np.minimum(n[same], m[at[same]]).sum())
-            if common >= (similarity - 1e-12) * (size[i] + size[j] - common):
-                out.append((int(node[j]), int(node[i])))
-                x, y = sorted((int(root[i]), int(root[j])))
-                root[root == y] = x
+            if common >= (similarity - 1e-12) * (c["size"][q] + c["size"][j] - common):
+                out.append((int(c["node"][j]), int(c["node"][q])))
+                low, high = sorted((int(root[q]), int(root[j])))
+                root[root == high] = low
     return out
 
 
 def compared(rows: DataFrame, k: int, similarity: float, registers: int) -> DataFrame:
-    """a, b: links between components (own) of texts of one bag, from rows (node, bag, own, block, blocks, text).
+    """a, b: links between components, from groups of rows with texts."""
 
-    A bag is cut into blocks of about BLOCK texts and each pair of blocks is one group, so
-    that a group's size is bounded, whatever a bag holds.
-    """
-    pair = lambda f, j: f(F.col("block"), j).cast("int")
-    dealt = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bag", pair(F.least, F.col("j")).alias("i"), pair(F.greatest, F.col("j")).alias("j"), "node", "own", "block", "text")
+    def find(table, starts):
+        c = _columns(table, registers)
+        for s, e in zip(starts, [*starts[1:], len(table)], strict=True):
+            found = links_between({x: y[s:e] for x, y in c.items()}, table.column("text").slice(s, e - s).to_pylist(), k, similarity)
+            pairs = np.array(found, "i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    def find(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = links_between(pdf["node"].to_numpy(), pdf["own"].to_numpy(), pdf["block"].to_numpy(), key[1] == key[2], [t.encode() for t in pdf["text"]], k, similarity, registers)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    return in_groups(rows, find, "a long, b long")
 
-    return dealt.groupBy("bag", "i", "j").applyInPandas(find, "a long, b long")
+
+def texts_of(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, t1, t2, text of the wanted nodes; a node of several texts has a row for each, once."""
+    one_text = F.struct("t1", "t2")
+    chosen = written(nodes.select("node", "t1", "t2").join(small(wanted), "node").select(F.col("node").alias("doc_id"), one_text.alias("of")), "chosen")
+    texts = base.join(small(chosen), "doc_id").filter(F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2")) == F.col("of"))
+    return written(texts.groupBy(F.col("doc_id").alias("node"), "of").agg(F.min("text").alias("text")).select("node", "of.t1", "of.t2", "text"), "texts")
 
 
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -194,13 +273,15 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     least `similarity` over multisets of k-word shingles. Texts that are equal byte for
     byte are compared as one. A text of fewer than k words has one shingle of all of
     them; a null text or one without words is alone. Rows with the same doc_id count as
-    one document; a null doc_id takes no part and gets a null class. An empty table
-    gives no rows. Columns other than doc_id and text are ignored.
+    one document, whatever their texts; a null doc_id takes no part and gets a null class.
+    Texts may be of any length. An empty table gives no rows. Columns other than doc_id
+    and text are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
+    base = id_and_text(docs)
     signs = written(signed(base.filter("doc_id IS NOT NULL"), k, bands, rows), "signatures")
     worded = signs.filter(F.size("bands") > 0)
-    nodes = written(worded.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(worded.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", "signature", "size"))), "nodes")
     held = signs.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("low"), F.max(F.struct("t1", "t2")).alias("high"))
     several = small(written(held.filter("low <> high").select("doc_id"), "several"))  # doc_ids with different texts
     joint = worded.select("doc_id", "t1", "t2").join(several, "doc_id").distinct().join(nodes.select("t1", "t2", "node"), ["t1", "t2"])
@@ -208,23 +289,21 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader")
     inside = written(banded.join(shared, "band"), "bands")
-    stars = written(inside.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")), "stars")
-    likely = stars.filter(F.col("n") >= max(1, math.ceil(bands * similarity**rows / 2))).select("a", "b")  # half the bands that similar texts share
-    wanted = small(written(inside.select("node").distinct(), "wanted"))
-    one_text = F.struct("t1", "t2")
-    chosen = nodes.select("node", "t1", "t2").join(wanted, "node")
-    texts = base.select("doc_id", "text").join(small(chosen.select(F.col("node").alias("doc_id"), one_text.alias("of"))), "doc_id")
-    texts = texts.filter(F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2")) == F.col("of"))
-    texts = written(texts.groupBy(F.col("doc_id").alias("node"), "of").agg(F.min("text").alias("text")).drop("of"), "texts")  # all of a node's texts
-    links = written(alike(likely, texts, k, similarity).union(joint), "links")
+    stars = inside.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    likely = written(stars.filter(F.col("n") >= max(1, math.ceil(bands * similarity**rows / 2))).select("a", "b"), "likely")  # half the bands that similar texts share
+    texts = texts_of(base, nodes, written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"))
+    links = written(alike(likely, texts.select("node", "text"), k, similarity).union(joint), "links")
     found = components(links)
 
-    candidates = components(stars).withColumnRenamed("component", "bag")
-    owned = written(candidates.join(found.withColumnRenamed("component", "own"), "node", "left").select("node", "bag", F.coalesce("own", "node").alias("own")), "owned")
-    mixed = owned.groupBy("bag").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    mixed = mixed.select("bag", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = owned.join(mixed, "bag").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    more = written(compared(rest.join(texts, "node"), k, similarity, bands * rows), "links")
+    owned = inside.select("band", "node").join(small(found.withColumnRenamed("component", "own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    owned = written(owned, "owned")
+    mixed = owned.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("band")
+    rest = written(owned.join(small(written(mixed, "mixed")), "band"), "rest")
+    signature = nodes.select("node", "t1", "t2", "signature", "size")
+    open_rows = written(possible(dealt(rest).join(signature.drop("t1", "t2"), "node"), similarity, bands * rows).distinct(), "possible")
+    texts = texts_of(base, nodes, written(open_rows.select("node").distinct(), "wanted"))
+    last = written(rest.join(open_rows, ["band", "node"]).join(texts, "node").withColumn("bytes", F.octet_length("text")).join(signature, ["node", "t1", "t2"]).drop("t1", "t2"), "open")
+    more = written(compared(dealt(last, "bytes"), k, similarity, bands * rows), "links")
     if more.limit(1).count():
         found = components(links.union(more))
 
