@@ -202,13 +202,75 @@ def test_rejection_of_frequent_and_rare_languages(spark):
     assert [r.kept_1 for r in got if r.kept_0 != "bad" and r.rejected] == []
 
 
+def letters_of(text, order=4):
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    return [0] * (order - 1) + [ord(c) if c != " " else 0 for c in re.sub(" +", " ", low).strip()] + [0]
+
+
+def slow_model(texts, order=4):
+    """p(letter, context) by dictionaries: interpolated Kneser-Ney, raw counts at the top, kinds of letters before below."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        s = letters_of(t, order)
+        counts[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    discount, total, kinds = {}, [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        n1, n2 = (sum(v == n for v in counts[k].values()) for n in (1, 2))
+        discount[k] = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
+        for g, n in counts[k].items():
+            total[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (1 << 16)
+        context = gram[:-1]
+        if not total[k][context]:
+            return p(gram[1:])
+        return (max(counts[k][gram] - discount[k], 0) + discount[k] * kinds[k][context] * p(gram[1:])) / total[k][context]
+
+    return p
+
+
+def test_cross_entropies_against_slow_models(spark):
+    texts = {"en": ["the cat, the dog and  the cow", "a cat sat", "THE end", "1 2", "日本 x"], "de": ["der Hund und die Katze", "Übermäßig schön, die Kuh"]}
+    rows = [(k, t, lang) for lang, ts in texts.items() for k, t in enumerate(ts)]
+    model = langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    asked = ["the cow", "die Kuh schläft", "日本語", "x", "!", None, "ζ the " * 30, "𐐨 a"]
+    h, lettered, lengths = model.cross_entropies(asked)
+    slow = [slow_model(texts[x]) for x in model.languages]
+    assert model.languages == ["de", "en"] and lettered.tolist() == [bool(t and any(c.isalpha() for c in t)) for t in asked]
+    for n, t in enumerate(asked[:7]):
+        s = letters_of(t)
+        assert lengths[n] == len(s) - 3
+        for k, p in enumerate(slow):
+            want = -sum(np.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)) / (len(s) - 3)
+            assert h[n, k] == pytest.approx(want, rel=1e-5)
+
+
+def test_own_ngrams_count_as_unseen(spark):
+    rows = [(1, "alpha beta", "x"), (2, "alpha gamma", "x")]
+    model = langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen, held = (model.cross_entropies([r[1] for r in rows], own)[0] for own in (None, np.zeros(2, "i8")))
+    assert (held > seen + 0.5).all()
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(0)
-    codes, n = np.unique(rng.integers(0, 6, 4000) * 266305 % (1 << 24), return_counts=True)
-    context = int(codes[0]) >> 6
-    every = (context << 6) + np.arange(64)
-    logs, _, _ = langid.kneser_ney(codes.astype("i8"), n, every)
-    assert abs(np.exp(logs).sum() - 1) < 1e-9
+    codes, n = np.unique(langid.grams(rng.integers(97, 103, 4000).astype("u2")), return_counts=True)
+    model = langid.LanguageModel({"x": (codes, n, int((n == 1).sum()), int((n == 2).sum()))})
+    every = (codes[0] >> np.uint64(16) << np.uint64(16)) + np.arange(1 << 16, dtype="u8")
+    assert abs(np.exp(model.log_probabilities(every).astype("f8")).sum() - 1) < 1e-4
+
+
+def test_rare_ngrams_go_beyond_the_bound(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "abcd " * 50 + "xyz qrs tuv", "x")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "GRAMS", 8)
+    model = langid.fitted(frame)
+    assert 0 < len(model.codes[-1].order) <= 8 and model.predict(["abcd abcd"])[0] == ["x"]
 
 
 # quality
