@@ -80,8 +80,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
 
     With keys, also k1 and k2, which name a row by doc_id and text as row_keys does. docs
     needs doc_id and text, benchmark item_id and text; further columns are ignored. A
-    null text has no words and is clean. Each row of docs has a row, also where doc_ids
-    are null or repeated. Rows of the benchmark with the same item_id are one item;
+    null or empty text has no words and is clean; texts of any length are read whole. Each
+    row of docs has a row, also where doc_ids are null or repeated. Rows of the benchmark with the same item_id are one item;
     a null item_id is the item named "". Empty tables give clean documents or no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -94,8 +94,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
         kinds += [F.coalesce(short_prints(w, m), F.array().cast("array<long>")) for m in lengths]
         return F.array_distinct(F.concat(*kinds))
 
-    worded = base.filter("text IS NOT NULL").select(*row_keys("doc_id", "text"), "text")
-    printed = worded.select("k1", "k2", F.explode(let(words(F.col("text")), fingerprints)).alias("print"))
+    read = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), fingerprints(w).alias("prints")))
+    scan = written(base.select("doc_id", *row_keys("doc_id", "text"), read.alias("read")).select("doc_id", "k1", "k2", "read.*"), "fingerprints")  # texts are split into words once
+    printed = scan.select("k1", "k2", F.explode("prints").alias("print"))
     hits = written(printed.join(prints, "print", "left_semi").groupBy("k1", "k2").agg(F.collect_set("print").alias("prints")), "hits")
 
     def extended(w: Column) -> Column:
@@ -108,7 +109,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
         kinds += [kept(m, short_prints(w, m)) for m in lengths]
         return F.transform(F.concat(*kinds), lambda x: let(F.slice(w, x["at"], x["m"]), lambda s: F.struct(x["at"].alias("at"), x["m"].alias("m"), *stretch_hash(s))))
 
-    again = worded.join(small(hits), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    again = base.filter("text IS NOT NULL").select(*row_keys("doc_id", "text"), "text").join(small(hits), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     found = again.select("k1", "k2", F.explode(let(words(F.col("text")), extended)).alias("s")).select("k1", "k2", "s.*")
     known = small(parts.select("m", "h1", "h2").distinct())
     found = written(found.join(known, ["m", "h1", "h2"], "left_semi"), "found")
@@ -122,9 +123,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     named = found.select("k1", "k2", "m", "h1", "h2").distinct().join(small(parts.select("item_id", "m", "h1", "h2")), ["m", "h1", "h2"]).select("k1", "k2", "item_id").distinct()
     named = named.groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ",").cast("binary"), 256).alias("items_sha256"))
     marks = small(written(covered.join(named, ["k1", "k2"]), "marks"))
-    rows = base.select("doc_id", *row_keys("doc_id", "text"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("n_items", F.lit(0).cast("long"))
-    return rows.join(marks, ["k1", "k2"], "left").select(
+    return scan.drop("prints").join(marks, ["k1", "k2"], "left").select(
         "doc_id",
         "n_words",
         hit.alias("n_hit"),

@@ -94,7 +94,7 @@ def secret_spans(docs: DataFrame, repo: str = "source", owner: str = "source", m
 
     docs needs doc_id, text and the columns of repositories and owners; a null repository
     or owner counts as none. By default both are the column source, so that the two counts
-    are one and copies within a single source count once. A null text counts as empty. Every row keeps a row, also
+    are one and copies within a single source count once. A null text counts as empty; texts of any length are read whole. Every row keeps a row, also
     where doc_ids are null or repeated; equal rows have equal spans. k1 and k2 name a
     row by doc_id and text. An empty table gives no rows.
     """
