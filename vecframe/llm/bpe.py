@@ -22,16 +22,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .shared import id_and_text
+from .shared import bounded_batches, id_and_text, worker_state
 
 #: Stands for the mark that closes a word; no mapped byte is this character.
 CLOSE = "\n"
 NEVER = 1 << 40
-CACHE_CHUNKS = 200_000
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 2_000_000
+#: Bounds of what a worker keeps: chunks that are words, other chunks, and pairs of tokens.
+CACHE_WORDS = 260_000
+CACHE_CHUNKS = 80_000
+CACHE_PAIRS = 400_000
 
-_workers: dict[int, "Bpe"] = {}
+
+class Chunks(tokens.Kept):
+    """Ids of words and, apart, of other chunks: those kept, else those learned last."""
+
+    def __init__(self, words: int, others: int):
+        super().__init__(words)
+        self.others, self.fresh = tokens.Kept(others), {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.others[chunk] if chunk in self.others else self.fresh[chunk]
+
+    def keep(self) -> None:
+        for c, ids in self.fresh.items():
+            (self if c.isalpha() else self.others).put(c, ids)
+        self.fresh = {}
 
 
 class Bpe:
@@ -65,8 +80,7 @@ class Bpe:
             self.merges.setdefault((self.ids[self.close(a)], self.ids[self.close(b)]), (rank, self.ids[self.close(a + b)]))
         self._derive(size)
         self.pairs: dict[int, bool] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.known = tokens.Kept(CACHE_WORDS)
+        self.chunks = Chunks(CACHE_WORDS, CACHE_CHUNKS)
 
     def _derive(self, size: int) -> None:
         """How each token is made, and which tokens are not what merging gives for them."""
@@ -185,17 +199,15 @@ class Bpe:
         return word.encode().decode("latin-1").translate(self.letters) + CLOSE
 
     def learn(self, chunks: list[str]) -> None:
-        """Puts the ids of new lower-cased chunks in the cache."""
-        if len(self.chunks) + len(chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        split = [[c] if c.isalpha() else self.words.findall(c) for c in chunks]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        coded = {w: array("I", ids).tobytes() for w, ids in zip(new, self.encode_words([self._mapped(w) for w in new]), strict=True)}
-        for c, ws in zip(chunks, split, strict=True):
-            self.chunks[c] = b"".join([coded[w] if w in coded else known[w] for w in ws])
-        for w, ids in coded.items():
-            known.put(w, ids)
+        """Makes the ids of new lower-cased chunks known, for the texts at hand."""
+        known = self.chunks
+        split = {c: self.words.findall(c) for c in chunks if not c.isalpha()}
+        words = [c for c in chunks if c.isalpha()]
+        words = list(dict.fromkeys([*words, *(w for ws in split.values() for w in ws if w not in known and w not in known.others)]))
+        known.fresh = {w: array("I", ids).tobytes() for w, ids in zip(words, self.encode_words([self._mapped(w) for w in words]), strict=True)}
+        for c, ws in split.items():
+            if c not in known.fresh:  # a chunk that is one word
+                known.fresh[c] = b"".join(map(known.__getitem__, ws))
 
     def _any(self, text: str) -> bytes:
         """A text of any characters: the library's normaliser and splitter, our merges."""
@@ -223,11 +235,11 @@ class Bpe:
             else:
                 held.append(self._any(text))
             if size >= group or k == len(texts) - 1:
-                if new := {c for h in held if isinstance(h, list) for c in h} - self.chunks.keys():
-                    kept = {c for h in held if isinstance(h, list) for c in h} if len(self.chunks) + len(new) > CACHE_CHUNKS else new
-                    self.learn(list(kept))
+                if new := {c for h in held if isinstance(h, list) for c in h} - self.chunks.keys() - self.chunks.others.keys():
+                    self.learn(list(new))
                 get = self.chunks.__getitem__
                 out += [h if isinstance(h, bytes) else b"".join(map(get, h)) for h in held]
+                self.chunks.keep()
                 held, size = [], 0
         return out
 
@@ -237,18 +249,17 @@ class Bpe:
 
 
 def worker_bpe(spec_json: str) -> Bpe:
-    key = hash(spec_json)
-    if key not in _workers:
-        _workers[key] = Bpe(spec_json)
-    return _workers[key]
+    return worker_state(("bpe", hash(spec_json)), lambda: Bpe(spec_json))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, and its ids if asked for.
 
     docs needs doc_id and text; further columns are ignored. A null or empty text has no
-    tokens and decodes to the empty text. Null and repeated doc_ids keep a row each.
+    tokens and decodes to the empty text. Null and repeated doc_ids keep a row each. Texts
+    are encoded whole, whatever their length. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(tokens.read_json(tokenizer))
 
     def digest(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import id_and_text, shared_folder
+from .shared import bounded_batches, id_and_text, shared_folder
 
 MAGIC = b"VFTOKENS"
 BLOCK = 1 << 16
@@ -225,6 +225,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     order of a hash of their texts. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     spec_json = tokens.read_json(tokenizer)
     folder = folder or shared_folder(spark, "tokens")
     size = tokens.ChunkEncoder(spec_json).tokenizer.get_vocab_size()

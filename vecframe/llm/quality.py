@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, held_out, id_and_text
+from .shared import bounded_batches, bounded_sample, held_out, id_and_text
 from .textbytes import groups, utf8, words
 
 CUT = 0.7
@@ -120,6 +120,7 @@ def rank_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
     by their features, all zero. Repeated and null doc_ids keep a row each; a null
     doc_id counts as held out. Without labels of both kinds every score is the cut.
     """
+    bounded_batches(docs.sparkSession)
     base = id_and_text(docs)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality")).filter(~held_out(F.col("doc_id"), folds, fold))
     ranker = docs.sparkSession.sparkContext.broadcast(fit(base, marks))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, written
+from .shared import bounded_batches, small, written
 from .suffixes import repeats
 from .textbytes import SpanHash, groups, mix, utf8
 
@@ -223,6 +223,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     """
     if not gram < span < gram + (1 << BITS) - 1:
         raise ValueError("span must be above gram, by less than 511")
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     long_enough = base.filter(F.octet_length("text") >= span)

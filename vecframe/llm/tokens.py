@@ -17,6 +17,8 @@ from array import array
 
 import numpy as np
 
+from .shared import worker_state
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The normaliser and splitter for which chunks are independent.
@@ -31,7 +33,6 @@ FORM = {
 CACHE_CHUNKS = 400_000
 
 _odd = re.compile("[̀-\U0010ffff]")
-_workers: dict[int, "ChunkEncoder"] = {}
 
 
 def public_path(name: str) -> str:
@@ -150,7 +151,4 @@ class ChunkEncoder(Kept):
 
 def worker_encoder(spec_json: str) -> ChunkEncoder:
     """The encoder of this Python worker; tasks on the same worker share its cache."""
-    key = hash(spec_json)
-    if key not in _workers:
-        _workers[key] = ChunkEncoder(spec_json)
-    return _workers[key]
+    return worker_state(("chunks", hash(spec_json)), lambda: ChunkEncoder(spec_json))
