@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -74,5 +75,30 @@ def test_long_texts_are_searched_in_pieces(spark, monkeypatch):
     assert sorted(got) == brute(docs, 400)
 
 
+def shared_words(docs, n):
+    texts = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in docs]
+    held = {}
+    for k, w in enumerate(texts):
+        for i in range(len(w) - n + 1):
+            held.setdefault(tuple(w[i : i + n]), set()).add(docs[k])  # equal rows are one document by id
+    out = []
+    for k, w in enumerate(texts):
+        out.append((str(docs[k][0]), any(len(held[tuple(w[i : i + n])]) > 1 for i in range(len(w) - n + 1))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("hot", "passage"), [(2000, 50), (3, 50), (2000, 12)])
+def test_shared_passages_against_brute_force(spark, hot, passage):
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randint(0, 99)}é"[: rng.randint(2, 4)] for _ in range(n)]
+    p, q = say(60), say(49)
+    docs = [(k, " ".join(say(rng.randint(0, 30)) + p[rng.randint(0, 12) : rng.randint(45, 60)] + say(20))) for k in range(14)]
+    docs += [(50, " ".join(q)), (51, " ".join(say(9) + q)), (52, " ".join(p * 3)), (53, " ".join(say(80) * 3)), (54, "  ".join(p).upper() + "!"), (55, None), (56, ""), (57, " ".join(say(30)))]
+    docs += [(58, docs[53 - 36][1]), (59, " ".join(say(200))), (60, "la " * 70), (61, "la " * 49), (62, "tiny"), (63, " ".join(say(70))), (63, docs[-1][1])]
+    got = substrings.remove_repeats(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, k int").repartition(3), hot=hot, passage=passage).collect()
+    want = shared_words(docs, passage)
+    assert sorted((str(r.doc_id), r.shares_passage) for r in got) == want and len({x for _, x in want}) == 2
+
+
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -15,8 +15,9 @@ _powers: list[np.ndarray] = []
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts in one array, and the offsets of the texts; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """The bytes of all texts (or binary values) in one array, and the offsets of the texts; null is empty."""
+    binary = pa.types.is_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     offsets = np.frombuffer(column.buffers()[1], "i8")[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, "u1") if data is not None else np.empty(0, "u1")
