@@ -49,7 +49,7 @@ def op9_token_counts(spark, sf_dir):
 
 
 def op9_token_stretches(spark, sf_dir):
-    """Sections that tokens cross, unlike lines."""
+    """Stretches of characters, whose bounds fall inside tokens, so that the rule decides; lines are never crossed."""
     return tokencounts.line_counts(documents(spark, sf_dir), tokens.public_path(WORD_BPE), width=STRETCH)
 
 
@@ -66,8 +66,8 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
-    "op9_token_counts": op9_token_counts,
     "op9_token_stretches": op9_token_stretches,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
 SQL = {

@@ -5,8 +5,9 @@ intervals of its sections. A token that crosses a boundary is allocated by the r
 `start` to the section of its first character, `majority` to the section that holds most
 of its characters (the earlier in ties), `split` to each section by its share.
 
-Tokens never cross white space, so a chunk that lies in one section gives all its
-tokens to it; only chunks that cross a boundary are looked at token by token.
+The spans of a whole text are put together from those of its white-space chunks, which
+no token crosses and which a worker keeps; texts for which this is not proven, as
+tokens.plain says, are encoded by the library in one piece.
 """
 
 from __future__ import annotations
@@ -17,52 +18,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import id_and_text
+from .shared import bounded_batches, id_and_text, worker_state
 
 RULES = ("start", "majority", "split")
+#: Distinct chunks kept by a worker.
+CACHE_CHUNKS = 250_000
 #: Whether each character below U+0300 is white space.
 BLANK = np.array([chr(c).isspace() for c in range(0x300)])
 
 
-def allot(spans: list[tuple[int, int]], bounds: np.ndarray, rule: str, out: np.ndarray) -> None:
-    """Adds tokens' spans to the sections that start at bounds (the first at 0)."""
-    for start, stop in spans:
-        first = int(np.searchsorted(bounds, start, "right")) - 1
-        last = max(first, int(np.searchsorted(bounds, stop - 1, "right")) - 1)
-        if first == last or rule == "start":
-            out[first] += 1
-            continue
-        edges = [start, *bounds[first + 1 : last + 1].tolist(), stop]
-        sizes = np.diff(edges)
+class SpanEncoder(tokens.ChunkEncoder):
+    """Maps a lower-cased chunk to the spans of its tokens as pairs of little-endian signed 32-bit bytes."""
+
+    def __missing__(self, chunk: str) -> bytes:
+        spans = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).offsets, "<i4").tobytes()
+        self.put(chunk, spans)
+        return spans
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """First character and end of every token of a whole text, in order."""
+        if not (self.fast and tokens.plain(text)) or "İ" in text:  # whose lower case is longer
+            pairs = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, "i8").reshape(-1, 2)
+            return pairs[:, 0], pairs[:, 1]
+        held = list(map(self.__getitem__, text.lower().split()))
+        if not held:
+            return np.empty(0, "i8"), np.empty(0, "i8")
+        inside = np.zeros(len(text) + 2, bool)
+        inside[1:-1] = ~BLANK[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        at = np.flatnonzero(inside[1:] & ~inside[:-1])  # where chunks start
+        pairs = np.frombuffer(b"".join(held), "<i4").reshape(-1, 2)
+        at = np.repeat(at, np.fromiter(map(len, held), "i8", len(held)) // 8)
+        return at + pairs[:, 0], at + pairs[:, 1]
+
+
+def allot(start: np.ndarray, stop: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
+    """Tokens of each section: the tokens' spans joined with the sections that start at bounds (the first at 0)."""
+    first = np.searchsorted(bounds, start, "right") - 1
+    last = np.maximum(first, np.searchsorted(bounds, stop - 1, "right") - 1)
+    if rule == "start":
+        return np.bincount(first, minlength=len(bounds)).astype("f8")
+    out = np.bincount(first[first == last], minlength=len(bounds)).astype("f8")
+    for t in np.flatnonzero(first != last).tolist():
+        a, b = first[t], last[t]
+        sizes = np.diff([start[t], *bounds[a + 1 : b + 1].tolist(), stop[t]])
         if rule == "majority":
-            out[first + int(sizes.argmax())] += 1
+            out[a + int(sizes.argmax())] += 1
         else:
-            out[first : last + 1] += sizes / (stop - start)
+            out[a : b + 1] += sizes / (stop[t] - start[t])
+    return out
 
 
-def attribute(encoder: tokens.ChunkEncoder, text: str, bounds: np.ndarray, rule: str = "start") -> np.ndarray:
+def attribute(encoder: SpanEncoder, text: str, bounds: np.ndarray, rule: str = "start") -> np.ndarray:
     """Tokens of each section of text; sections start at bounds, ascending from 0."""
-    out = np.zeros(len(bounds))
-    if not (encoder.fast and tokens.plain(text)) or "İ" in text:  # whose lower case is longer
-        allot(encoder.tokenizer.encode(text, add_special_tokens=False).offsets, bounds, rule, out)
-        return out
-    chunks = text.lower().split()
-    if not chunks:
-        return out
-    n = np.fromiter(map(len, map(encoder.__getitem__, chunks)), "i8", len(chunks)) // 4
-    inside = np.zeros(len(text) + 2, bool)
-    inside[1:-1] = ~BLANK[np.frombuffer(text.encode("utf-32-le"), "<u4")]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, stop = edges[::2], edges[1::2]
-    first = np.searchsorted(bounds, start, "right") - 1
-    last = np.searchsorted(bounds, stop - 1, "right") - 1
-    crossing = first != last
-    out += np.bincount(first[~crossing], n[~crossing], len(bounds))
-    for c in np.flatnonzero(crossing).tolist():
-        at = int(start[c])
-        spans = encoder.tokenizer.encode(chunks[c], add_special_tokens=False).offsets
-        allot([(at + a, at + b) for a, b in spans], bounds, rule, out)
-    return out
+    return allot(*encoder.spans(text), bounds, rule)
+
+
+def worker_spans(spec_json: str) -> SpanEncoder:
+    return worker_state(("spans", hash(spec_json)), lambda: SpanEncoder(spec_json, CACHE_CHUNKS))
 
 
 def _kind(rule: str) -> str:
@@ -76,14 +88,15 @@ def line_counts(docs: DataFrame, tokenizer: str, rule: str = "start", width: int
 
     Sections are lines with their line feed, or stretches of `width` characters if given.
     A null or empty text has one empty section. docs needs doc_id and text; further
-    columns are ignored. Null and repeated doc_ids keep their rows. An empty table
-    gives no rows.
+    columns are ignored. Null and repeated doc_ids keep their rows. Texts are encoded
+    whole, whatever their length. An empty table gives no rows.
     """
     kind = _kind(rule)
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(tokens.read_json(tokenizer))
 
     def count(batches):
-        encoder = tokens.worker_encoder(spec.value)
+        encoder = worker_spans(spec.value)
         for batch in batches:
             rows, section, starts, stops, counts = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
@@ -112,13 +125,13 @@ def field_counts(table: DataFrame, key: str, fields: list[str], tokenizer: str,
     """key, field, n_tokens: the fields of a row joined by separator and encoded as one text.
 
     A separator belongs to the field before it. A null field is empty and has a row with
-    no tokens.
+    no tokens. Null and repeated keys keep their rows; an empty table gives no rows.
     """
     kind = _kind(rule)
     spec = table.sparkSession.sparkContext.broadcast(tokens.read_json(tokenizer))
 
     def count(batches):
-        encoder = tokens.worker_encoder(spec.value)
+        encoder = worker_spans(spec.value)
         for batch in batches:
             counts = []
             for values in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
