@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample
+from .shared import bounded_batches, bounded_sample
 
 FIT_ROWS = 20_000
-#: The share of all rows that the cells of a query hold together, and the least number.
-SHARE, LEAST = 0.6, 2_000
+#: Centroids of a half at most, and so the root of the number of cells.
+CENTROIDS = 128
+#: The share of all rows that the cells of a query hold together.
+SHARE = 0.5
 SHELF_ROWS = (256, 20_000)
 QUERY_BLOCK = 4_096
 
@@ -92,14 +94,19 @@ class MultiIndex:
 
 
 def rerank(queries: np.ndarray, own: np.ndarray, probes: list[np.ndarray], ids: np.ndarray, x: np.ndarray, cells: np.ndarray, k: int):
-    """For each query the k nearest rows of its cells: (query's place, row's place, distance)."""
+    """For each query the k nearest ids of its cells, each by its nearest row: (query's place, row's place, distance)."""
     out = []
-    x = x.astype("f8")
+    repeated = len(np.unique(ids)) < len(ids)
     for q in range(len(queries)):
         at = np.flatnonzero(np.isin(cells, probes[q]) & (ids != own[q]))
         if not len(at):
             continue
-        d = np.sqrt(((x[at] - queries[q].astype("f8")) ** 2).sum(1))
+        d = np.sqrt(((x[at] - queries[q]) ** 2).sum(1))
+        if repeated:
+            order = np.lexsort([d, ids[at]])
+            at, d = at[order], d[order]
+            nearest_row = np.append(True, ids[at][1:] != ids[at][:-1])
+            at, d = at[nearest_row], d[nearest_row]
         if len(at) > k:
             keep = d <= np.partition(d, k - 1)[k - 1]
             at, d = at[keep], d[keep]
@@ -109,32 +116,34 @@ def rerank(queries: np.ndarray, own: np.ndarray, probes: list[np.ndarray], ids:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype("f4").reshape(-1, dims)
+    return column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dims)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, share: float = SHARE, least: int = LEAST, centroids: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, share: float = SHARE, centroids: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row that is_query selects.
 
     vectors needs vec_id and embedding; further columns are ignored. Vectors take no part
     if null, all zero, with null or non-finite components, or of another length than most
-    (the longest in ties); nor do rows without vec_id. Rows of a query's own vec_id
-    are no candidates. Ties go to the smaller vec_id. Too few candidates: all of them.
-    An empty table gives no rows.
+    (the longest in ties); nor do rows without vec_id. Components are compared as doubles.
+    Rows of a query's own vec_id are no candidates. Rows with the same vec_id are one
+    vector in several places: a query or candidate counts once, by its nearest row. Ties
+    go to the smaller vec_id. Too few candidates: all of them. An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     out = "query_id long, rank int, vec_id long, score double"
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     lengths = base.groupBy(F.size("embedding").alias("d")).count().filter("d > 0").orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], out)
     dims = lengths[0].d
     base = base.filter(usable("embedding", dims))
-    total = base.count()
+    total, ids = base.agg(F.count("*"), F.count_distinct("vec_id")).first()
     if not total:
         return spark.createDataFrame([], out)
     sample = bounded_sample(base, "vec_id", FIT_ROWS).toArrow()
     fitted = _matrix(sample.column("embedding").combine_chunks(), dims)[np.argsort(sample.column("vec_id").to_numpy(), kind="stable")].astype("f8")
-    index = MultiIndex(fitted, centroids or int(np.clip(round(total**0.5 / 2.8), 2, 64)))
+    index = MultiIndex(fitted, centroids or int(np.clip(round(5 * total**0.5), 2, CENTROIDS)))
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches):
@@ -142,14 +151,14 @@ def search(vectors: DataFrame, is_query, k: int = 10, share: float = SHARE, leas
             cells = shared.value.cells(_matrix(batch.column(1), dims).astype("f8")) if len(batch) else np.empty(0, "i8")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype("i8"))], ["vec_id", "embedding", "cell"])
 
-    placed = base.mapInArrow(place, "vec_id long, embedding array<float>, cell long")
+    placed = base.mapInArrow(place, "vec_id long, embedding array<double>, cell long")
     counts = np.zeros(index.k**2, "i8")
     for r in placed.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         counts[r.cell] = r["count"]
     shelf_rows = int(np.clip(total // 32, *SHELF_ROWS))
     index.lay(counts, shelf_rows)
     laid = spark.sparkContext.broadcast(index)
-    rows = max(least, share * total)
+    rows = max(share * total, k + 1 + total - ids)  # as many at least as hold k ids besides the query's
     queries = base.filter(is_query)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
@@ -168,7 +177,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, share: float = SHARE, leas
             m = laid.value
             cols: list[list] = [[], [], [], [], []]
             x = _matrix(batch.column(1), dims).astype("f8")
-            for n, (q, raw) in enumerate(zip(batch.column(0).to_pylist(), x.astype("f4"), strict=True)):
+            for n, (q, raw) in enumerate(zip(batch.column(0).to_pylist(), x, strict=True)):
                 by: dict[int, list[int]] = {}
                 for c in m.walk(x[n], rows):
                     for s in set(m.shelf[m.first[c] : m.first[c + 1]].tolist()):
@@ -176,11 +185,11 @@ def search(vectors: DataFrame, is_query, k: int = 10, share: float = SHARE, leas
                 for s, cells in by.items():
                     for c, v in zip(cols, (s, (q // 100) % blocks, q, raw, cells), strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shelf", "block", "query_id", "embedding", "cells"])
 
-    shelves = placed.mapInArrow(shelve, "shelf long, block long, vec_id long, embedding array<float>, cell long")
-    routed = queries.mapInArrow(route, "shelf long, block long, query_id long, embedding array<float>, cells array<long>")
+    shelves = placed.mapInArrow(shelve, "shelf long, block long, vec_id long, embedding array<double>, cell long")
+    routed = queries.mapInArrow(route, "shelf long, block long, query_id long, embedding array<double>, cells array<long>")
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -190,5 +199,6 @@ def search(vectors: DataFrame, is_query, k: int = 10, share: float = SHARE, leas
         return pd.DataFrame({"query_id": own[q], "vec_id": ids[v], "score": d})
 
     found = routed.groupBy("shelf", "block").cogroup(shelves.groupBy("shelf", "block")).applyInPandas(near, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
