@@ -9,11 +9,16 @@ A shard file holds, all little-endian:
   present (u8) and the end of its ids (u64);
 * a tail of 32 bytes: the footer's place, the number of blocks, documents and ids.
 
-Any id range can be read alone through the block offsets.
+Any id range can be read alone through the block offsets. A folder's manifest, in JSON,
+lists the shards that count in order, with the id each starts at, its documents and ids, and
+has the bits of an id, the end id and a hash of the tokenizer. Files that it does not
+name are leftovers of lost task attempts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import posixpath
 import struct
 import zlib
@@ -30,6 +35,7 @@ from .shared import bounded_batches, id_and_text, shared_folder
 
 MAGIC = b"VFTOKENS"
 BLOCK = 1 << 16
+MANIFEST = "manifest.json"
 HEAD, TAIL = struct.Struct("<8sIIQQ"), struct.Struct("<QQQQ")
 #: Ids unpacked at a time by readers that pass over whole shards.
 PIECE = 1 << 21
@@ -163,8 +169,8 @@ class ShardReader:
             yield n, crc
 
 
-def write_shards(docs: DataFrame, spec_json: str, folder: str, end_id: int, vocabulary: int) -> list[tuple[str, int, int]]:
-    """Writes docs in ascending doc_id order; returns (file, documents, ids) of each shard in that order.
+def write_shards(docs: DataFrame, spec_json: str, folder: str, end_id: int, vocabulary: int) -> dict:
+    """Writes docs in ascending doc_id order, then the manifest, which it returns.
 
     The order is by doc_id, nulls first, then by a hash of the text, then by the text. A
     shard is a range partition. A task writes under a name of its own attempt and the
@@ -192,13 +198,29 @@ def write_shards(docs: DataFrame, spec_json: str, folder: str, end_id: int, voca
 
     ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     made = ordered.mapInArrow(shard, "part long, name string, docs long, ids long").collect()  # one row a shard
-    return [(r["name"], r["docs"], r["ids"]) for r in sorted(made, key=lambda r: r["part"])]
-
-
-def read_index(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, all from the shard files."""
-    starts = np.concatenate([[0], np.cumsum([n for _, _, n in shards])]).astype(int).tolist()
-    names = [n for n, _, _ in shards]
+    manifest = {"bits": bits, "end_id": end_id, "tokenizer_sha256": hashlib.sha256(spec_json.encode()).hexdigest(), "shards": []}
+    start = 0
+    for r in sorted(made, key=lambda r: r["part"]):
+        manifest["shards"].append({"file": r["name"], "start": start, "documents": r["docs"], "ids": r["ids"]})
+        start += r["ids"]
+    store, path = pafs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(posixpath.join(path, MANIFEST + ".part")) as out:
+        out.write(json.dumps(manifest).encode())
+    store.move(posixpath.join(path, MANIFEST + ".part"), posixpath.join(path, MANIFEST))
+    return manifest
+
+
+def read_manifest(folder: str) -> dict:
+    store, path = pafs.FileSystem.from_uri(folder)
+    with store.open_input_file(posixpath.join(path, MANIFEST)) as f:
+        return json.loads(f.read())
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, all from the files that the folder's manifest names."""
+    shards = read_manifest(folder)["shards"]
+    starts, names = [x["start"] for x in shards], [x["file"] for x in shards]
 
     def read(batches):
         store, path = pafs.FileSystem.from_uri(folder)
@@ -221,7 +243,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     """Encodes, packs, writes and reads back every document.
 
     docs needs doc_id and text; further columns are ignored. A null or empty text holds
-    the end id alone. A null doc_id sorts first; repeated doc_ids keep a row each, in the
+    the end id alone; texts are encoded whole, whatever their length. A null doc_id sorts first; repeated doc_ids keep a row each, in the
     order of a hash of their texts. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -229,5 +251,5 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     spec_json = tokens.read_json(tokenizer)
     folder = folder or shared_folder(spark, "tokens")
     size = tokens.ChunkEncoder(spec_json).tokenizer.get_vocab_size()
-    shards = write_shards(id_and_text(docs), spec_json, folder, end_id, size)
-    return read_index(spark, folder, shards)
+    write_shards(id_and_text(docs), spec_json, folder, end_id, size)
+    return read_index(spark, folder)
