@@ -95,9 +95,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> PairwiseRanker:
     """Fits on at most about FIT_ROWS labelled documents of each kind.
 
     docs has doc_id and text, labels has doc_id and quality; rows with other or null
-    labels teach nothing.
+    labels teach nothing, nor do doc_ids with both labels. A labelled doc_id teaches
+    once, with the least of its texts if there are several.
     """
-    kinds = [bounded_sample(labels.filter(F.col("quality") == k), "doc_id", FIT_ROWS) for k in (0, 1)]
+    single = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
+    kinds = [bounded_sample(single.filter(F.col("quality") == k).select("doc_id", "quality"), "doc_id", FIT_ROWS) for k in (0, 1)]
     chosen = F.broadcast(kinds[0].unionByName(kinds[1]).select("doc_id", "quality"))
 
     def measure(batches):
@@ -107,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> PairwiseRanker:
                 f = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([r.tobytes() for r in f.astype("f2")], pa.binary())], ["quality", "f"])
 
-    rows = docs.join(chosen, "doc_id").select(F.col("quality").cast("int"), "text").mapInArrow(measure, "quality int, f binary").toArrow()
+    once = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("quality").cast("int").alias("quality"), F.min("text").alias("text"))
+    rows = once.select("quality", "text").mapInArrow(measure, "quality int, f binary").toArrow()
     x = np.array([np.frombuffer(r, "f2") for r in rows.column("f").to_pylist()], "f4").reshape(-1, WIDTH)
     order = np.lexsort([*x.T[[0, 32, -4]], rows.column("quality").to_numpy()])  # whatever the order of tasks
     return PairwiseRanker().fit(x[order].astype("f8"), rows.column("quality").to_numpy()[order])
@@ -118,7 +121,9 @@ def rank_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
 
     Labels of the fold are never read. A null text counts as empty; empty texts are scored
     by their features, all zero. Repeated and null doc_ids keep a row each; a null
-    doc_id counts as held out. Without labels of both kinds every score is the cut.
+    doc_id counts as held out. Texts are measured whole, whatever their length; equal
+    texts have equal scores. Without labels of both kinds every score is the cut. An empty
+    table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     base = id_and_text(docs)
