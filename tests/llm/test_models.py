@@ -2,9 +2,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from vecframe.llm import ann, bagminhash, components, langid, quality, queries, tokencounts, tokens
+from vecframe.llm import ann, bagminhash, components, decontaminate, langid, quality, queries, textbytes, tokencounts, tokens
 
 PATH = tokens.public_path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.01"
@@ -13,12 +15,29 @@ SF = "/root/testdata/sf0.01"
 # token counts
 
 def by_library(text, bounds, rule):
+    """Token by token, from the library's offsets for the whole text."""
     out = np.zeros(len(bounds))
-    t = tokens.ChunkEncoder(tokens.read_json(PATH)).tokenizer
-    tokencounts.allot(t.encode(text, add_special_tokens=False).offsets, bounds, rule, out)
+    edges = [*bounds.tolist(), 1 << 40]
+    for start, stop in tokens.ChunkEncoder(tokens.read_json(PATH)).tokenizer.encode(text, add_special_tokens=False).offsets:
+        shares = [max(0, min(stop, edges[k + 1]) - max(start, edges[k])) for k in range(len(bounds))]
+        if rule == "start":
+            out[max(k for k in range(len(bounds)) if edges[k] <= start)] += 1
+        elif rule == "majority":
+            out[shares.index(max(shares))] += 1
+        else:
+            out += np.array(shares) / (stop - start)
     return out
 
 
+def test_rules_give_different_counts():
+    encoder = tokencounts.SpanEncoder(tokens.read_json(PATH))
+    text = "unhappinesses " * 9
+    bounds = np.array([0, 3, 12, 50])
+    got = {rule: tokencounts.attribute(encoder, text, bounds, rule) for rule in tokencounts.RULES}
+    assert len({tuple(x) for x in got.values()}) == len(tokencounts.RULES)
+    assert all(np.allclose(x, by_library(text, bounds, rule)) for rule, x in got.items())
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_token_counts_against_the_library(spark, rule):
     docs = [(1, "Thandhahe of ing.\n\nunhappinesses é\n"), (2, None), (3, ""), (4, "İstanbul 日本 x"), (None, "a\x1cb ethandhaheing <|endoftext|>"), (4, "again " * 300), (5, "\n\n")]
@@ -102,6 +121,25 @@ def test_near_duplicates_against_brute_force(spark):
     assert bagminhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 900])
+def test_near_duplicates_in_crowded_bands(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(bagminhash, "BLOCK", 7)
+    monkeypatch.setattr(bagminhash, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 900, 60)]
+    docs = []
+    for k in range(70):  # around one text at distances on both sides of the limit, so that bands hold several components
+        w = list(base)
+        for at in rng.choice(len(w), rng.integers(0, 4), replace=False):
+            w[at] = f"n{k}_{at}"
+        docs.append((k, " ".join(w)))
+    docs += [(100 + k, docs[k % 3][1]) for k in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = classes(docs)
+    assert len(set(want.values())) > 3
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame).collect()} == want
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     rng = np.random.default_rng(8)
     say = lambda first: " ".join([first, *(f"w{x}" for x in rng.integers(0, 500, 99))])
@@ -146,7 +184,7 @@ def test_search_recall_and_order(spark):
     rows = [(r.vec_id, r.embedding) for r in frame.collect()]
     want = nearest(rows, [i for i, _ in rows if i % 100 == 0])
     got = {}
-    for r in ann.search(frame, frame.vec_id % 100 == 0, least=0).orderBy("query_id", "rank").collect():
+    for r in ann.search(frame, frame.vec_id % 100 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert set(got) == set(want)
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want])
@@ -165,6 +203,41 @@ def test_search_of_odd_vectors(spark):
     assert ann.search(frame.limit(0), frame.vec_id % 100 == 0).count() == 0
 
 
+def test_search_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.5]), (1, [0.0, 1.25]), (2, [3.0, 0.0]), *[(3, [1.0, 0.1 + n]) for n in range(30)]]
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 3, 0.1), (0, 2, 1, 0.25)]
+
+
+def test_search_scores_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1e-12]), (2, [1.0, 1e-13]), (3, [0.1, 0.2])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got[:2]] == [(2, 1e-13), (1, 1e-12)]
+
+
+@pytest.mark.parametrize(("rows", "every"), [(500, 7), (20_000, 1000)])
+def test_recall_with_registered_parameters(spark, rows, every):
+    vectors = [r.embedding for r in spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(rows).collect()] if rows <= 500 else None
+    if vectors is None:
+        rng = np.random.default_rng(2)
+        centers = rng.normal(size=(10, 64))
+        x = rng.normal(size=(rows, 64)) + 0.5 * centers[rng.integers(0, 10, rows)]
+        vectors = (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
+    table = list(enumerate(vectors))
+    frame = spark.createDataFrame(pa.table({"vec_id": [i for i, _ in table], "embedding": [v for _, v in table]}))
+    got = {}
+    for r in ann.search(frame, F.col("vec_id") % every == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = np.array(vectors, "f8")
+    recall = []
+    for q in range(0, len(x), every):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        recall.append(len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
+    print("recall", rows, np.mean(recall))
+    assert np.mean(recall) >= 0.9
+
+
 # languages
 
 def test_languages_of_held_out_documents(spark):
@@ -291,3 +364,84 @@ def test_quality_of_odd_rows(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert all(r.score == pytest.approx(0.7) for r in quality.rank_quality(docs, labels.limit(0)).collect())
     assert quality.rank_quality(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = spark.createDataFrame([(1, "good text here")] * 40 + [(1, "zz")] + [(2, "!!! $$$"), (3, "%% !!"), (4, "fine words")], "doc_id long, text string").repartition(3)
+    labels = [(1, 1), (1, 1), (2, 0), (3, 0), (3, 1)]
+    seen = []
+    train = quality.PairwiseRanker.fit
+    quality.PairwiseRanker.fit = lambda self, x, better: seen.append((x, better)) or train(self, x, better)
+    try:
+        quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    finally:
+        quality.PairwiseRanker.fit = train
+    (x, better), = seen
+    assert sorted(better.tolist()) == [0, 1] and len(x) == 2
+
+
+def slow_features(text):
+    raw = (text or "").encode()
+    f = np.zeros(quality.WIDTH)
+    for b in raw:
+        f[b] += 1
+    for a, b in zip(raw, raw[1:], strict=False):
+        f[256 + ((a * 0x9E3779B1 + b * 0x85EBCA77) % (1 << 32) >> 23)] += 1
+    f[: 256 + quality.PAIRS] = np.log1p(1000 * f[: 256 + quality.PAIRS] / (len(raw) + quality.SMOOTH))
+    w = WORDS.findall(raw.lower() if raw.isascii() else re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+    upper, lower_ = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    f[-5] = np.log1p(100 * sum(a == b for a, b in zip(w, w[1:], strict=False)) / (len(w) + 8))
+    f[-4] = np.log1p(len(raw))
+    f[-3] = len(raw) / (sum(b in b" \n" for b in raw) + 1)
+    f[-2] = upper / max(upper + lower_, 1)
+    f[-1] = sum(48 <= b <= 57 for b in raw) / (len(raw) + quality.SMOOTH)
+    return f
+
+
+def test_features_against_loops():
+    texts = ["Good good text, HERE 42", "", None, "é ü\nla la la", "a", "x " * 200]
+    data, offsets = textbytes.utf8(pa.array(texts, pa.string()))
+    got = quality.features(data, offsets)
+    for row, t in zip(got, texts, strict=True):
+        assert np.allclose(row, slow_features(t), atol=1e-4)
+
+
+def test_ranking_minimises_the_pairwise_loss():
+    rng = np.random.default_rng(6)
+    x = np.zeros((300, quality.WIDTH))
+    x[:, :4] = rng.normal(size=(300, 4))
+    better = (x[:, 0] - 0.5 * x[:, 1] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    ranker = quality.PairwiseRanker().fit(x, better)
+    z = (x - ranker.mean) / ranker.scale
+
+    def loss(w):
+        d = (z[better == 1] @ w)[:, None] - (z[better == 0] @ w)[None]
+        return np.log1p(np.exp(-d)).mean() + ranker.decay / 2 * w @ w
+
+    at = loss(ranker.weights)
+    w = np.zeros(quality.WIDTH)
+    for _ in range(4000):  # plain descent on all pairs
+        d = (z[better == 1] @ w)[:, None] - (z[better == 0] @ w)[None]
+        g = 1 / (1 + np.exp(d))
+        w += 1.0 * ((z[better == 1] * g.mean(1)[:, None]).mean(0) - (z[better == 0] * g.mean(0)[:, None]).mean(0) - ranker.decay * w)
+        if loss(w) < at - 0.02:
+            break
+    assert loss(w) > at - 0.02
+
+
+def test_very_long_texts(spark):
+    long = "the quick brown fox, and 7 dogs; " * 60_000
+    docs = [(1, long, "en", "s"), (2, long + "end", "en", "s"), (3, "kurz und gut", "de", "s"), (4, "le chat noir", "fr", "s")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame, folds=1000, fold=999).collect()}
+    assert got == {1: "en", 2: "en", 3: "de", 4: "fr"}
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int")
+    assert quality.rank_quality(frame, labels, folds=1000, fold=999).count() == 4
+    counts = {}
+    for r in tokencounts.line_counts(frame, PATH, width=100_000).collect():
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + r.n_tokens
+    library = tokens.ChunkEncoder(tokens.read_json(PATH)).tokenizer
+    assert counts == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t, _, _ in docs}
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    item = spark.createDataFrame([(1, " ".join(long.split()[:13]))], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate.contamination(frame, item).collect()} == {1: True, 2: True, 3: False, 4: False}

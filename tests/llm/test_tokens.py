@@ -105,3 +105,24 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.token_files(empty, PATH).count() == 0
     assert bpe.encode_decode(empty, PATH).count() == 0
+
+
+def test_only_files_of_the_manifest_are_read(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(ODD)]
+    folder = f"file://{tmp_path}/tokens"
+    first = packing.token_files(frame(spark, rows), PATH, folder=folder).orderBy("doc_id").collect()
+    (tmp_path / "tokens" / "shard-000000-999.tok").write_bytes(b"left by a lost attempt")
+    assert packing.read_index(spark, folder).orderBy("doc_id").collect() == first
+    manifest = packing.read_manifest(folder)
+    assert manifest["end_id"] == 2 and manifest["bits"] == 16
+    assert sum(x["documents"] for x in manifest["shards"]) == len(rows) and manifest["shards"][-1]["start"] + manifest["shards"][-1]["ids"] == sum(r.n_tokens for r in first)
+
+
+def test_bounded_caches_change_no_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 3)
+    coder = bpe.Bpe(tokens.read_json(PATH))
+    texts = [f"word{k % 7} the, cat's {k} end. 'unhappiness' the" for k in range(40)] + list(ODD)
+    got = [x for k in range(0, len(texts), 6) for x in coder.encode(texts[k : k + 6], group=60)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library_ids(t) for t in texts]
+    assert len(coder.chunks) <= 5 and len(coder.chunks.others) <= 3
