@@ -3,21 +3,56 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dense, let
 from ..schema import Metric
+from .search import losses, matrix_of, products
 
 Centroids = list[list[float]]
+#: Components of all centroids up to which they are written into an expression.
+EXPRESSION_SIZE = 2_048
 
 
 def literal(centroids: Centroids) -> Column:
     return F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centroids))
 
 
+def nearest_rows(metric: Metric, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the loss and place of the best row of c, the first of equals."""
+    loss = products(metric, x, c)
+    best = loss.argmin(1)
+    least = loss[np.arange(len(x)), best]
+    row, at = np.nonzero(loss <= (least + 1e-9 * (1 + abs(least)))[:, None])  # products round: near ones are compared exactly
+    exact = losses(metric, x[row], c[at])
+    order = np.lexsort([at, exact, row])
+    first = order[np.append(True, row[order][1:] != row[order][:-1])] if len(order) else order
+    return exact[first], at[first]
+
+
 def assign(vector: Column, centroids: Centroids, metric: Metric = Metric.L2) -> Column:
-    """STRUCT<d, cluster>: the nearest centroid, the first of equals; d ascends to the better (similarities are negated)."""
+    """STRUCT<d, cluster>: the nearest centroid, the first of equals; d ascends to the better (similarities are negated).
+
+    Few centroids are literals of one expression; beyond EXPRESSION_SIZE components they
+    travel once as a matrix and rows meet them in matrix products.
+    """
+    if sum(map(len, centroids)) > EXPRESSION_SIZE:
+        matrix = np.array(centroids, "f8")
+
+        @F.arrow_udf("d double, cluster int")
+        def by_products(v: pa.Array) -> pa.Array:
+            there = pc.is_valid(v)
+            d, cluster = np.zeros(len(v)), np.zeros(len(v), "i4")
+            at = np.flatnonzero(there.to_numpy(zero_copy_only=False))
+            for a in range(0, len(at), 4096):
+                rows = at[a : a + 4096]
+                d[rows], cluster[rows] = nearest_rows(metric, matrix_of(v.take(pa.array(rows))), matrix)
+            return pa.StructArray.from_arrays([pa.array(d), pa.array(cluster)], names=["d", "cluster"], mask=pc.invert(there))
+
+        return by_products(vector.cast("array<double>"))
 
     def nearest(v: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
@@ -40,9 +75,22 @@ def inertia(df: DataFrame, centroids: Centroids, metric: Metric = Metric.L2, vec
 
 
 def means(df: DataFrame, centroids: Centroids, metric: Metric = Metric.L2, vector: str = "vector") -> DataFrame:
-    """cluster, i, x, n: the mean of each component over each cluster with members."""
-    parts = assigned(df.select(vector), centroids, metric, vector).select("cluster", F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
-    return parts.groupBy("cluster", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    """cluster, i, x, n: the mean of each component over each cluster with members. A task sends one sum a component."""
+    k, dims = len(centroids), len(centroids[0])
+
+    def add(batches):
+        sums, n = np.zeros((k, dims)), np.zeros(k, "i8")
+        for batch in batches:
+            own, x = batch.column(0).to_numpy(), matrix_of(batch.column(1))
+            np.add.at(sums, own, x)
+            n += np.bincount(own, minlength=k)
+        at = np.flatnonzero(n)
+        columns = [np.repeat(at, dims), np.tile(np.arange(dims), len(at)), sums[at].reshape(-1), np.repeat(n[at], dims)]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, ("i4", "i4", "f8", "i8"), strict=True)], ["cluster", "i", "s", "n"])
+
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    parts = assigned(rows, centroids, metric, "v").select("cluster", "v").mapInArrow(add, "cluster int, i int, s double, n long")
+    return parts.groupBy("cluster", "i").agg((F.sum("s") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
 
 
 def lloyd_step(df: DataFrame, centroids: Centroids, metric: Metric = Metric.L2, vector: str = "vector") -> Centroids:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Metric
@@ -63,13 +63,20 @@ def union(lists: DataFrame, k: int, higher_is_better: bool = True) -> DataFrame:
     return _top(lists.groupBy("pk").agg(best.alias("score")), k, higher_is_better)
 
 
-def _with_fields(scored: DataFrame, lists: DataFrame) -> DataFrame:
-    """Joins the further columns of the hits, from the list first by name."""
+def _reranked(lists: DataFrame, unit: Column, top_n: int) -> DataFrame:
+    """The top_n keys by the sum of unit, with the further columns of the list first by name, in one aggregation."""
     rest = [c for c in lists.columns if c not in ("list_name", "pk", "score", "rank")]
-    if not rest:
-        return scored
-    first = lists.groupBy("pk").agg(F.min_by(F.struct(*rest), "list_name").alias("f")).select("pk", "f.*")
-    return scored.join(first, "pk", "left").orderBy(F.col("score").desc(), "pk")
+    fields = [F.min_by(F.struct(*rest), "list_name").alias("f")] if rest else []
+    scored = lists.groupBy("pk").agg(F.sum(unit).alias("score"), *fields)
+    return _top(scored.select("pk", "score", *(["f.*"] if rest else [])), top_n)
+
+
+def _some(lists: DataFrame) -> DataFrame:
+    """Refuses lists that are known to be empty without running them; others that turn out empty give no rows."""
+    most = lists._jdf.queryExecution().optimizedPlan().maxRows()
+    if most.isDefined() and str(most.get()) == "0":
+        raise EmptyInput("nothing to rerank")
+    return lists
 
 
 @dataclass(frozen=True)
@@ -81,11 +88,8 @@ class RrfReranker:
     higher_is_better: bool = True
 
     def rerank(self, lists: DataFrame) -> DataFrame:
-        if lists.isEmpty():
-            raise EmptyInput("nothing to rerank")
         one = F.lit(1.0) / (F.lit(self.rank_constant) + F.col("rank") + 1)
-        scored = _ranked(lists, self.higher_is_better).groupBy("pk").agg(F.sum(one).alias("score"))
-        return _with_fields(_top(scored, self.top_n), lists)
+        return _reranked(_ranked(_some(lists), self.higher_is_better), one, self.top_n)
 
 
 @dataclass(frozen=True)
@@ -98,11 +102,9 @@ class WeightedReranker:
     weights: dict[str, float] = field(default_factory=dict)
 
     def rerank(self, lists: DataFrame) -> DataFrame:
-        if lists.isEmpty():
-            raise EmptyInput("nothing to rerank")
         s = F.col("score")
         unit = {Metric.L2: 1 - 2 * F.atan(s) / math.pi, Metric.COSINE: 1 - s / 2}.get(self.metric, 0.5 + F.atan(s) / math.pi)
         weight = F.lit(1.0)
         for name, x in self.weights.items():
             weight = F.when(F.col("list_name") == name, F.lit(float(x))).otherwise(weight)
-        return _with_fields(_top(lists.groupBy("pk").agg(F.sum(unit * weight).alias("score")), self.top_n), lists)
+        return _reranked(_some(lists), unit * weight, self.top_n)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from . import cluster, search
 from .quantize import ProductQuantizer
 
 
+#: Files of a saved bucket at most.
+BUCKET_FILES = 8
+
+
 @dataclass(frozen=True)
 class IvfParams:
     n_list: int = 100
@@ -51,8 +57,31 @@ class IvfIndex:
     def bucketed(self, df: DataFrame, vector: str = "vector") -> DataFrame:
         return df.withColumn("bucket", cluster.assign(F.col(vector), self.centroids, self.metric)["cluster"])
 
-    def save(self, df: DataFrame, path: str, vector: str = "vector") -> None:
-        self.bucketed(df, vector).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    def save(self, df: DataFrame, path: str, vector: str = "vector", key: str = "pk") -> None:
+        """Writes buckets as partitions; a hot bucket is dealt over BUCKET_FILES tasks."""
+        salt = F.pmod(F.xxhash64(key), F.lit(BUCKET_FILES))
+        self.bucketed(df, vector).repartition("bucket", salt).write.partitionBy("bucket").parquet(path)
+
+    def insert(self, bucketed: DataFrame, rows: DataFrame, vector: str = "vector", key: str = "pk") -> DataFrame:
+        """bucketed with rows in their buckets; rows replace those of the same key."""
+        return self.remove(bucketed, rows.select(key), key).unionByName(self.bucketed(rows, vector))
+
+    def remove(self, bucketed: DataFrame, keys: DataFrame, key: str = "pk") -> DataFrame:
+        return bucketed.join(keys.select(key), key, "left_anti").select(*bucketed.columns)
+
+    @staticmethod
+    def size(bucketed: DataFrame) -> int:
+        return bucketed.count()
+
+    def statistics(self, bucketed: DataFrame) -> DataFrame:
+        """bucket, n of every bucket, empty ones too: how evenly the index is filled."""
+        every = bucketed.sparkSession.range(len(self.centroids)).select(F.col("id").cast("int").alias("bucket"))
+        counted = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
+        return every.join(counted, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def probes_for(self, candidates: int, rows: int) -> int:
+        """The number of buckets that hold about so many candidates: a search budget given in rows."""
+        return max(1, min(len(self.centroids), -(-candidates * len(self.centroids) // max(rows, 1))))
 
     def probes(self, query: list[float], n_probe: int | None = None) -> list[int]:
         """The buckets to read, best first."""
@@ -65,11 +94,44 @@ class IvfIndex:
         return search.knn(bucketed.filter(F.col("bucket").isin(self.probes(query, n_probe))), query, k, self.metric, **options)
 
     def batch_search(self, bucketed: DataFrame, queries: DataFrame, k: int, n_probe: int | None = None, pk: str = "pk", vector: str = "vector", digits: int | None = None) -> DataFrame:
-        """qid, rank, pk, score for many queries (qid, qvec): an equi-join of queries' buckets with rows'."""
+        """qid, rank, pk, score for many queries (qid, qvec).
+
+        Queries are counted and broadcast in parts of at most search.BROADCAST_QUERIES. The
+        rows of a bucket meet the queries that read it in matrix products, where they lie;
+        a task sends k rows a query to the shuffle.
+        """
         n = min(n_probe or self.params.n_probe, len(self.centroids))
-        order = F.array_sort(F.transform(cluster.literal(self.centroids), lambda c, i: F.struct((-dense.distance(self.metric, F.col("qvec"), c) if self.metric.higher_is_better else dense.distance(self.metric, F.col("qvec"), c)).alias("d"), i.alias("bucket"))))
-        routed = queries.select("qid", "qvec", F.explode(F.slice(order, 1, n)).alias("b")).select("qid", "qvec", "b.bucket")
-        found = bucketed.join(routed, "bucket").select("qid", F.col(pk).alias("pk"), search.rounded(dense.distance(self.metric, F.col(vector), F.col("qvec")), digits).alias("score"))
+        total = queries.count()
+        if total > search.BROADCAST_QUERIES:
+            parts = -(-total // search.BROADCAST_QUERIES)
+            part = F.pmod(F.xxhash64("qid"), F.lit(parts))
+            return reduce(DataFrame.unionByName, [self.batch_search(bucketed, queries.filter(part == p), k, n_probe, pk, vector, digits) for p in range(parts)])
+        names, matrix = search.query_block(queries)
+        kinds = dict(queries.dtypes)["qid"], dict(bucketed.dtypes)[pk]
+        readers: dict[int, list[int]] = {}
+        centers = np.array(self.centroids, "f8")
+        for a in range(0, len(names), 1024):
+            block = matrix[a : a + 1024]
+            exact = np.stack([search.losses(self.metric, block, c) for c in centers], 1)
+            for q, buckets in enumerate(exact.argsort(1, kind="stable")[:, :n].tolist(), a):
+                for b in buckets:
+                    readers.setdefault(b, []).append(q)
+        metric = self.metric
+        shared = bucketed.sparkSession.sparkContext.broadcast((names, matrix, {b: np.array(q) for b, q in readers.items()}))
+
+        def run(batches):
+            names, matrix, readers = shared.value
+            best = search.Nearest(matrix, k, metric, digits)
+            for batch in batches:
+                x, pks, own = search.matrix_of(batch.column(1)), batch.column(0).to_pylist(), batch.column(2).to_numpy()
+                for b in np.unique(own).tolist():
+                    if b in readers:
+                        at = np.flatnonzero(own == b)
+                        best.add(readers[b], x[at], [pks[i] for i in at.tolist()])
+            yield from best.batches(names)
+
+        rows = bucketed.select(F.col(pk).alias("pk"), F.col(vector).cast("array<double>").alias("v"), F.col("bucket").cast("int")).filter("v IS NOT NULL")
+        found = rows.mapInArrow(run, f"qid {kinds[0]}, pk {kinds[1]}, score double")
         w = Window.partitionBy("qid").orderBy(dense.best_first(self.metric, F.col("score")), "pk")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "pk", "score")
 
