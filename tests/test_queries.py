@@ -37,7 +37,7 @@ def test_entry(spark):
     assert set(REGISTRY) - set(SQL) == SLOW
 
 
-@pytest.mark.parametrize("name", ["knn_batch_50", "knn_batch_arrow_50", "ivf_batch_50"])
+@pytest.mark.parametrize("name", ["knn_batch", "knn_batch_arrow", "knn_batch_all", "knn_batch_ip", "knn_batch_cosine", "ivf_batch", "ivf_trained", "sparse_batch_knn"])
 def test_each_50th_row_of_the_table_is_a_query(spark, name):
     ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
     assert {r.qid for r in REGISTRY[name][0](spark, SF).collect()} == {i for i in ids if i % 50 == 0}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import dml
 from ..schema import CollectionConfig, Metric, Schema
 from ..collection import Collection
+from ..plans.query import Query
 from ..sources.documents import documents
-from .common import TEXTS, events, table, texts
+from .common import TEXTS, events, folder, table, texts
 
 FILTERS = {
     "filter_eq": ("lang = 'en'", "lang = 'en'"),
@@ -52,6 +53,24 @@ def fetch(spark, d):
     return texts(spark, d).df.filter("pk = '7'").select("pk", "lang", "source")
 
 
+def reopened(spark, d):
+    """Two flushes, a second opening and an optimised snapshot; then a count on what is stored."""
+    old, new = pieces(spark, d)
+    root, config = folder(spark, "collections"), old.config
+    with Collection.open(spark, root, "docs", config) as c:
+        c.upsert(old.df)
+    with Collection.open(spark, root, "docs") as c:
+        c.upsert(new.df)
+    stored = Collection.open(spark, root, "docs")
+    stored.optimize()
+    return Collection.open(spark, root, "docs").query("SELECT lang, COUNT(*) FROM c GROUP BY lang WHERE source LIKE 'src1%'")
+
+
+def built(spark, d):
+    """A query from the builder, two conditions and all."""
+    return texts(spark, d).query(Query.select("lang", "source").where("lang IN ('de', 'es')").where("quality IS NOT NULL").order_by("source", True).limit(30))
+
+
 def halves(spark, d):
     """Documents of doc_id mod 3 = 0 or 1, and a second version of those of 1 or 2."""
     df = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pk"), "lang", "source", "doc_id")
@@ -148,6 +167,8 @@ DIAGNOSTICS = f"""WITH {TEXTS}, v AS (
 
 REGISTRY = {
     **{name: filtered(name) for name in FILTERS},
+    "reopened": (reopened, f"WITH {HALVES}, m AS ({MERGED.split(' ', 1)[1].removeprefix(HALVES).strip()}) SELECT lang, count(*) AS count FROM m WHERE starts_with(source, 'src1') AND lang IS NOT NULL GROUP BY lang"),
+    "query_builder": (built, f"WITH {TEXTS} SELECT pk AS _pk, lang, source FROM docs WHERE lang IN ('de', 'es') AND quality IS NOT NULL ORDER BY coalesce(source, '') DESC, pk LIMIT 30"),
     "point_lookup": (fetch, f"WITH {TEXTS} SELECT pk, lang, source FROM docs WHERE pk = '7'"),
     "select_fields": dialect("SELECT lang, source FROM d WHERE lang = 'es'", texts, f"WITH {TEXTS} SELECT pk AS _pk, lang, source FROM docs WHERE lang = 'es'"),
     "select_star_limit": (star, f"WITH {EVENTS} SELECT pk AS _pk, event_type, user_id, props FROM evt WHERE event_type <> 'click' OR event_type IS NULL ORDER BY _pk LIMIT 25"),

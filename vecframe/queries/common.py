@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..schema import CollectionConfig, Metric, Schema
 from ..sources.documents import documents
 
 DIGITS = 4
+#: Searches take as queries every row whose id is divisible by this.
+EVERY = 50
 
 
 def l2(a: str, b: str) -> str:
@@ -70,3 +75,40 @@ SCALED = "emb AS (SELECT vec_id AS pk, list_transform(CAST(embedding AS DOUBLE[]
 
 def q(vec_id: int) -> str:
     return f"(SELECT vector FROM emb WHERE pk = {vec_id})"
+
+
+class Initials:
+    """A model for the embedding queries: counts of the first letters of words."""
+
+    def dimension(self) -> int:
+        return 26
+
+    def embed(self, text: str) -> list[float]:
+        out = [0.0] * 26
+        for w in text.lower().split():
+            if "a" <= w[0] <= "z":
+                out[ord(w[0]) - 97] += 1
+        return out
+
+    def embed_batch(self, texts) -> list[list[float]]:
+        return [self.embed(t) for t in texts]
+
+    def embed_sparse(self, text: str) -> tuple[list[int], list[float]]:
+        found = [(i, x) for i, x in enumerate(self.embed(text)) if x]
+        return [i for i, _ in found], [x for _, x in found]
+
+    def embed_sparse_batch(self, texts) -> list[tuple[list[int], list[float]]]:
+        return [self.embed_sparse(t) for t in texts]
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a query that stores: below spark.checkpoint.dir, which all executors share, or temporary in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vecframe-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()

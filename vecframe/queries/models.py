@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..embed import embed_column
+from ..embed import embed_column, embed_sparse_column
 from ..operators import cluster, ivf, quantize
 from ..schema import Metric
-from .common import DIGITS, EMB, ip, l2, q, table, vector_of, vectors
+from .common import DIGITS, EMB, EVERY, Initials, ip, l2, q, table, vector_of, vectors
 
 K, M, CODES = 8, 8, 16
 WIDTH = 64 // M
@@ -35,14 +35,14 @@ def inertia(spark, d):
 
 
 def minibatch(spark, d):
-    """One mini-batch of the 100 lowest rows, with all counts 1 before it."""
-    df = vectors(spark, d).orderBy("pk").limit(100)
-    new, counts = cluster.minibatch_step(df, centroids(spark, d), [1] * K, 100)
+    """One mini-batch as large as the table, so that the draw takes every row; all counts are 1 before it."""
+    df = vectors(spark, d)
+    new, counts = cluster.minibatch_step(df, centroids(spark, d), [1] * K, df.count())
     rows = [(c, i, float(x), int(counts[c])) for c, v in enumerate(new) for i, x in enumerate(v)]
     return spark.createDataFrame(rows, "cluster long, i long, x double, n long").withColumn("x", F.round("x", DIGITS) + 0.0)
 
 
-MINIBATCH = f"""WITH {EMB.replace('FROM embeddings', 'FROM embeddings ORDER BY vec_id LIMIT 100')}, {ASSIGNED},
+MINIBATCH = f"""WITH {EMB}, {ASSIGNED},
     p AS (SELECT cluster, unnest(range(len(vector))) AS i, CAST(unnest(vector) AS DOUBLE) AS x FROM a), s AS (SELECT cluster, i, sum(x) AS x, count(*) AS n FROM p GROUP BY cluster, i),
     o AS (SELECT cluster, unnest(range(len(cv))) AS i, CAST(unnest(cv) AS DOUBLE) AS x FROM n)
     SELECT o.cluster, o.i, round((o.x + coalesce(s.x, 0)) / (1 + coalesce(s.n, 0)), {DIGITS}) + 0.0 AS x, 1 + coalesce(s.n, 0) AS n FROM o LEFT JOIN s USING (cluster, i)"""
@@ -64,27 +64,65 @@ def ivf_probe(n: int):
 
 def ivf_batch(spark, d):
     i, df = index(spark, d), vectors(spark, d)
-    queries = df.filter("pk < 15").select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
+    queries = df.filter(F.col("pk") % EVERY == 0).select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
     return i.batch_search(i.bucketed(df), queries, 5, digits=DIGITS)
 
 
-IVF_BATCH = f"""WITH {EMB}, {ASSIGNED}, o AS (SELECT e.pk AS qid, e.vector AS qvec, n.cluster, row_number() OVER (PARTITION BY e.pk ORDER BY {l2('e.vector', 'n.cv')}, n.cluster) AS r FROM emb e, n WHERE e.pk < 15),
+IVF_BATCH = f"""WITH {EMB}, {ASSIGNED}, o AS (SELECT e.pk AS qid, e.vector AS qvec, n.cluster, row_number() OVER (PARTITION BY e.pk ORDER BY {l2('e.vector', 'n.cv')}, n.cluster) AS r FROM emb e, n WHERE e.pk % {EVERY} = 0),
     s AS (SELECT qid, pk, round({l2('vector', 'qvec')}, {DIGITS}) AS score FROM a JOIN o USING (cluster) WHERE r <= 3)
     SELECT qid, CAST(rank AS INTEGER) AS rank, pk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, pk) AS rank FROM s) WHERE rank <= 5"""
 
 
-def ivf_batch_50(spark, d):
-    """Each 50th row as a query against all rows."""
-    i, df = index(spark, d), vectors(spark, d)
-    queries = df.filter("pk % 50 = 0").select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
+def two_rounds(spark, d) -> cluster.Centroids:
+    """Lloyd's rounds from the K lowest rows, two of them."""
+    return cluster.kmeans(vectors(spark, d), K, Metric.L2, 2, init=centroids(spark, d))
+
+
+def round_sql(n: int, before: str) -> str:
+    """Centroids (cluster, cv) of one round after those of `before`."""
+    return f"""a{n} AS (SELECT e.pk, e.vector, arg_min(n.cluster, struct_pack(d := {l2('e.vector', 'n.cv')}, k := n.cluster)) AS cluster FROM emb e, {before} n GROUP BY e.pk, e.vector),
+        p{n} AS (SELECT cluster, unnest(range(len(vector))) AS i, CAST(unnest(vector) AS DOUBLE) AS x FROM a{n}), m{n} AS (SELECT cluster, i, avg(x) AS x FROM p{n} GROUP BY cluster, i),
+        c{n} AS (SELECT n.cluster, coalesce(list(m.x ORDER BY m.i) FILTER (m.x IS NOT NULL), any_value(CAST(n.cv AS DOUBLE[]))) AS cv FROM {before} n LEFT JOIN m{n} m USING (cluster) GROUP BY n.cluster)"""
+
+
+START = f"c0 AS (SELECT row_number() OVER (ORDER BY pk) - 1 AS cluster, CAST(vector AS DOUBLE[]) AS cv FROM (SELECT * FROM emb ORDER BY pk LIMIT {K}))"
+TWO_ROUNDS = f"{START}, {round_sql(1, 'c0')}, {round_sql(2, 'c1')}"
+
+
+def kmeans_rounds(spark, d):
+    return as_rows(spark, two_rounds(spark, d)).withColumn("x", F.round("x", DIGITS) + 0.0)
+
+
+def trained(spark, d) -> ivf.IvfIndex:
+    return ivf.IvfIndex(two_rounds(spark, d), Metric.L2, ivf.IvfParams(K, 3))
+
+
+def ivf_trained(spark, d):
+    """An index trained on the rows, searched for many queries."""
+    i, df = trained(spark, d), vectors(spark, d)
+    queries = df.filter(F.col("pk") % EVERY == 0).select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
     return i.batch_search(i.bucketed(df), queries, 5, digits=DIGITS)
 
 
-IVF_BATCH_50 = f"""WITH {EMB}, {ASSIGNED}, o AS (SELECT e.pk AS qid, e.vector AS qvec, n.cluster, row_number() OVER (PARTITION BY e.pk ORDER BY {l2('e.vector', 'n.cv')}, n.cluster) AS r FROM emb e, n WHERE e.pk % 50 = 0),
+IVF_TRAINED = f"""WITH {EMB}, {TWO_ROUNDS}, a AS (SELECT e.pk, e.vector, arg_min(n.cluster, struct_pack(d := {l2('e.vector', 'n.cv')}, k := n.cluster)) AS cluster FROM emb e, c2 n GROUP BY e.pk, e.vector),
+    o AS (SELECT e.pk AS qid, e.vector AS qvec, n.cluster, row_number() OVER (PARTITION BY e.pk ORDER BY {l2('e.vector', 'n.cv')}, n.cluster) AS r FROM emb e, c2 n WHERE e.pk % {EVERY} = 0),
     s AS (SELECT qid, pk, round({l2('vector', 'qvec')}, {DIGITS}) AS score FROM a JOIN o USING (cluster) WHERE r <= 3)
     SELECT qid, CAST(rank AS INTEGER) AS rank, pk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, pk) AS rank FROM s) WHERE rank <= 5"""
 
 
+def ivf_changes(spark, d):
+    """Buckets after inserts, some over rows that are there, and removals; with empty ones."""
+    i, df = index(spark, d), vectors(spark, d)
+    held = i.insert(i.bucketed(df.filter("pk % 3 < 2")), df.filter("pk % 3 > 0"))
+    return i.statistics(i.remove(held, df.filter("pk % 5 = 0").select("pk"))).select(F.col("bucket").cast("bigint").alias("bucket"), "n")
+
+
+def ivfpq_trained(spark, d):
+    """Codes of residuals from the trained index's centroids; the codebook is that of the lowest rows."""
+    i = ivf.IvfPqIndex(trained(spark, d), book(spark, d))
+    return i.search(i.encoded(vectors(spark, d)), vector_of(spark, d, 20), 10, 3, digits=DIGITS)
+
+
 def book(spark, d) -> quantize.ProductQuantizer:
     rows = centroids(spark, d, CODES)
     return quantize.ProductQuantizer([[r[s * WIDTH : (s + 1) * WIDTH] for r in rows] for s in range(M)])
@@ -128,6 +166,10 @@ IVFPQ = f"""WITH {EMB}, {ASSIGNED}, r AS (SELECT a.pk, a.cluster, list_transform
     SELECT e.pk, round(sum(t.d), {DIGITS}) AS score FROM e JOIN t USING (cluster, s, code) GROUP BY e.pk ORDER BY score, pk LIMIT 10"""
 
 
+#: The same search with the centroids of two rounds.
+IVFPQ_TRAINED = IVFPQ.replace(ASSIGNED, f"{TWO_ROUNDS}, n AS (SELECT cluster, cv FROM c2), a AS (SELECT e.pk, e.vector, arg_min(n.cluster, struct_pack(d := {l2('e.vector', 'n.cv')}, k := n.cluster)) AS cluster FROM emb e, n GROUP BY e.pk, e.vector)")
+
+
 def total(codes):
     return F.aggregate(codes, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
@@ -170,23 +212,6 @@ def as_rows(spark, centers):
     return spark.createDataFrame([(c, i, float(x)) for c, v in enumerate(centers) for i, x in enumerate(v)], "cluster long, i long, x double")
 
 
-class Initials:
-    """A model for the embedding query: counts of the first letters of words."""
-
-    def dimension(self) -> int:
-        return 26
-
-    def embed(self, text: str) -> list[float]:
-        out = [0.0] * 26
-        for w in text.lower().split():
-            if "a" <= w[0] <= "z":
-                out[ord(w[0]) - 97] += 1
-        return out
-
-    def embed_batch(self, texts) -> list[list[float]]:
-        return [self.embed(t) for t in texts]
-
-
 def embedded(spark, d):
     df = table(spark, d, "documents").select("doc_id", embed_column(Initials, F.col("text")).alias("v"))
     return df.select("doc_id", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).cast("bigint").alias("words"), F.element_at("v", 1).cast("bigint").alias("a"))
@@ -194,6 +219,15 @@ def embedded(spark, d):
 
 EMBEDDED = r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '(?:^|\s)([a-z])', 1) AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_filter(w, lambda x: x = 'a')) AS BIGINT) AS a FROM w"
 
+def embedded_sparse(spark, d):
+    df = table(spark, d, "documents").select("doc_id", embed_sparse_column(Initials, F.col("text")).alias("v"))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    return df.select("doc_id", F.size("v.indices").cast("bigint").alias("letters"), add(F.col("v.indices").cast("array<double>")).cast("bigint").alias("places"), add(F.col("v.values")).cast("bigint").alias("words"))
+
+
+EMBEDDED_SPARSE = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:^|\s)([a-z])', 1) AS w FROM documents)
+    SELECT doc_id, CAST(len(list_distinct(w)) AS BIGINT) AS letters, CAST(coalesce(list_sum(list_transform(list_distinct(w), lambda x: ascii(x) - 97)), 0) AS BIGINT) AS places, CAST(len(w) AS BIGINT) AS words FROM w"""
+
 REGISTRY = {
     "assign_centroids": (assign, f"WITH {EMB}, {ASSIGNED} SELECT pk, cluster, round(d, {DIGITS}) AS d FROM a"),
     "lloyd_step": (lloyd, f"WITH {EMB}, {ASSIGNED}, p AS (SELECT cluster, unnest(range(len(vector))) AS i, CAST(unnest(vector) AS DOUBLE) AS x FROM a) SELECT cluster, i, round(avg(x), {DIGITS}) + 0.0 AS x, count(*) AS n FROM p GROUP BY cluster, i"),
@@ -202,7 +236,10 @@ REGISTRY = {
     "ivf_probe": ivf_probe(3),
     "ivf_exhaustive": ivf_probe(K),
     "ivf_batch": (ivf_batch, IVF_BATCH),
-    "ivf_batch_50": (ivf_batch_50, IVF_BATCH_50),
+    "kmeans_rounds": (kmeans_rounds, f"WITH {EMB}, {TWO_ROUNDS} SELECT cluster, CAST(unnest(range(len(cv))) AS BIGINT) AS i, round(unnest(cv), {DIGITS}) + 0.0 AS x FROM c2"),
+    "ivf_trained": (ivf_trained, IVF_TRAINED),
+    "ivf_changes": (ivf_changes, f"WITH {EMB}, {ASSIGNED} SELECT n.cluster AS bucket, count(a.pk) AS n FROM n LEFT JOIN (SELECT * FROM a WHERE pk % 5 <> 0) a USING (cluster) GROUP BY n.cluster"),
+    "ivfpq_trained": (ivfpq_trained, IVFPQ_TRAINED),
     "pq_encode": (pq_encode, f"WITH {EMB}, {CODED} SELECT pk, s, code FROM e"),
     "pq_decode_error": (pq_error, f"WITH {EMB}, {CODED} SELECT pk, round(sum(d), {DIGITS}) AS error FROM e GROUP BY pk"),
     "pq_adc_topk": (pq_adc, PQ_ADC),
@@ -216,4 +253,5 @@ REGISTRY = {
     "elbow": (lambda s, d: s.createDataFrame(cluster.elbow(vectors(s, d), range(1, 4), max_iters=3), "k long, inertia double"), None),
     "pq_train": (lambda s, d: as_rows(s, [c for sub in quantize.ProductQuantizer.train(vectors(s, d), 64, 4, 8, 3).codebook for c in sub]), None),
     "embed_udf": (embedded, EMBEDDED),
+    "embed_sparse_udf": (embedded_sparse, EMBEDDED_SPARSE),
 }

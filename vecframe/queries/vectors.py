@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..collection import Collection
+from ..embed import embed_column
 from ..functions import dense, sparse
 from ..operators import fusion, search
-from ..schema import Metric
-from .common import DIGITS, EMB, SCALED, cos, embeddings, ip, l2, q, table, vector_of, vectors
+from ..schema import CollectionConfig, Metric, Schema
+from .common import DIGITS, EMB, EVERY, SCALED, Initials, cos, embeddings, ip, l2, q, table, vector_of, vectors
 
 SPARSE_FROM = 0.15
 
@@ -42,29 +44,18 @@ def knn_filtered(spark, d):
 KNN_FILTERED = f"WITH {EMB} SELECT CAST(pk AS VARCHAR) AS pk, category, round({l2('vector', q(0))}, {DIGITS}) AS score FROM emb WHERE category IN ('1', '2') ORDER BY score, pk LIMIT 10"
 
 
-def batch(kernel: str):
-    def run(spark, d):
-        df = vectors(spark, d)
-        queries = df.filter("pk < 20").select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
-        return search.batch_knn(df, queries, 5, Metric.L2, kernel=kernel, digits=DIGITS)
-
-    sql = f"""WITH {EMB}, s AS (SELECT a.pk AS qid, b.pk AS pk, round({l2('b.vector', 'a.vector')}, {DIGITS}) AS score FROM emb a, emb b WHERE a.pk < 20)
-        SELECT qid, CAST(rank AS INTEGER) AS rank, pk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, pk) AS rank FROM s) WHERE rank <= 5"""
-    return run, sql
-
-
-def batch_all(metric: Metric, every: int, kernel: str = "auto"):
-    """All embeddings as the corpus, each `every`-th as a query: the throughput query."""
+def batch(metric: Metric, k: int = 10, kernel: str = "auto"):
+    """Every row whose id is divisible by EVERY is a query against all rows."""
 
     def run(spark, d):
         df = vectors(spark, d)
-        queries = df.filter(F.col("pk") % every == 0).select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
-        return search.batch_knn(df, queries, 10, metric, kernel=kernel, digits=DIGITS)
+        queries = df.filter(F.col("pk") % EVERY == 0).select(F.col("pk").alias("qid"), F.col("vector").alias("qvec"))
+        return search.batch_knn(df, queries, k, metric, kernel=kernel, digits=DIGITS)
 
-    s = {"l2": l2, "cosine": cos}[metric.value]("b.vector", "a.vector")
+    s = {"l2": l2, "ip": ip, "cosine": cos}[metric.value]("b.vector", "a.vector")
     way = "DESC" if metric.higher_is_better else "ASC"
-    sql = f"""WITH {EMB}, s AS (SELECT a.pk AS qid, b.pk AS pk, round({s}, {DIGITS}) AS score FROM emb a, emb b WHERE a.pk % {every} = 0)
-        SELECT qid, CAST(rank AS INTEGER) AS rank, pk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {way}, pk) AS rank FROM s) WHERE rank <= 10"""
+    sql = f"""WITH {EMB}, s AS (SELECT a.pk AS qid, b.pk AS pk, round({s}, {DIGITS}) AS score FROM emb a, emb b WHERE a.pk % {EVERY} = 0)
+        SELECT qid, CAST(rank AS INTEGER) AS rank, pk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {way}, pk) AS rank FROM s) WHERE rank <= {k}"""
     return run, sql
 
 
@@ -198,15 +189,46 @@ SEARCH_RERANK = f"""WITH {EMB}, s AS (SELECT n.name, CAST(e.pk AS VARCHAR) AS pk
     r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, pk) AS rank FROM s)
     SELECT pk, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, any_value(category) AS category FROM r WHERE rank <= 30 GROUP BY pk ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 12) DESC, pk LIMIT 10"""
 
+
+
+def sparse_batch(spark, d):
+    df = sparse_rows(spark, d)
+    return search.sparse_batch_knn(df, df.filter(F.col("pk") % EVERY == 0).select(F.col("pk").alias("qid"), "sv"), 5, Metric.IP, digits=DIGITS)
+
+
+SPARSE_BATCH = f"""WITH {EMB}, sp AS (SELECT pk, list_transform(CAST(vector AS DOUBLE[]), lambda x: CASE WHEN abs(x) >= {SPARSE_FROM} THEN x ELSE 0.0 END) AS v FROM emb),
+    s AS (SELECT a.pk AS qid, b.pk AS pk, round({ip('b.v', 'a.v')}, {DIGITS}) AS score FROM sp a, sp b WHERE a.pk % {EVERY} = 0)
+    SELECT qid, CAST(rank AS INTEGER) AS rank, pk, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pk) AS rank FROM s) WHERE rank <= 5"""
+
+
+def by_distance(spark, d):
+    """The dialect's order by distance, with a condition."""
+    return embeddings(spark, d).query("SELECT category FROM e WHERE category != '3' ORDER BY _distance LIMIT 20", vector_of(spark, d, 2), DIGITS)
+
+
+BY_DISTANCE = f"WITH {EMB} SELECT CAST(pk AS VARCHAR) AS _pk, category, round({l2('vector', q(2))}, {DIGITS}) AS _distance FROM emb WHERE category <> '3' OR category IS NULL ORDER BY _distance, _pk LIMIT 20"
+PHRASE = "a plain question about data and the people who keep it"
+
+
+def text_search(spark, d):
+    """Documents embedded by a model, searched by a text in the same model."""
+    df = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pk"), embed_column(Initials, F.col("text")).alias("vector"), "lang").filter("vector IS NOT NULL")
+    c = Collection(spark, CollectionConfig(26, Metric.COSINE, Schema.of(lang="filtered")), df)
+    return digits(c.search_text(Initials(), PHRASE, 15, "lang IN ('en', 'fr')").select("pk", "score", "lang"))
+
+
+TEXT_SEARCH = rf"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS pk, lang, regexp_extract_all(lower(text), '(?:^|\s)([a-z])', 1) AS w FROM documents WHERE text <> '' AND lang IN ('en', 'fr')),
+    v AS (SELECT pk, lang, list_transform(range(26), lambda i: CAST(len(list_filter(w, lambda x: x = chr(CAST(97 + i AS INTEGER)))) AS DOUBLE)) AS v FROM t)
+    SELECT pk, lang, round({cos('v', f'CAST({Initials().embed(PHRASE)} AS DOUBLE[])')}, 8) AS score FROM v ORDER BY score DESC, pk LIMIT 15"""
+
 REGISTRY = {
     "knn_filtered_l2": (knn_filtered, KNN_FILTERED),
     **{f"knn_{m.value}": knn(m) for m in Metric},
-    "knn_batch": batch("expression"),
-    "knn_batch_arrow": batch("arrow"),
-    "knn_batch_50": batch_all(Metric.L2, 50, "expression"),
-    "knn_batch_arrow_50": batch_all(Metric.L2, 50, "arrow"),
-    "knn_batch_all": batch_all(Metric.L2, 4),
-    "knn_batch_cosine": batch_all(Metric.COSINE, 10),
+    "knn_batch": batch(Metric.L2, 5, "expression"),
+    "knn_batch_arrow": batch(Metric.L2, 5, "arrow"),
+    "knn_batch_all": batch(Metric.L2),
+    "knn_batch_ip": batch(Metric.IP),
+    "knn_batch_cosine": batch(Metric.COSINE),
     "range_within": (within, f"WITH {EMB} SELECT pk, round({l2('vector', q(1))}, {DIGITS}) AS score FROM emb WHERE round({l2('vector', q(1))}, {DIGITS}) <= 1.6"),
     "grouped_knn": grouped(None),
     "grouped_knn_pool": grouped(24),
@@ -222,6 +244,9 @@ REGISTRY = {
     **{f"rerank_weighted_{m.value}": rerank(m) for m in (Metric.L2, Metric.IP, Metric.COSINE)},
     "search_with_reranker": (search_rerank, SEARCH_RERANK),
     **{f"sparse_{m.value}_knn": sparse_knn(m) for m in (Metric.IP, Metric.L2, Metric.COSINE)},
+    "sparse_batch_knn": (sparse_batch, SPARSE_BATCH),
+    "order_by_distance": (by_distance, BY_DISTANCE),
+    "text_search": (text_search, TEXT_SEARCH),
     "sparse_pairs": (sparse_pairs, SPARSE_PAIRS),
     "to_dense": (to_dense, f"WITH {EMB}, {ZEROED} SELECT pk, 32 AS dims, round(list_sum(v[1:32]), {DIGITS}) AS total FROM sp"),
     "normalize": (normalize, f"WITH {SCALED} SELECT pk, round({ip('vector', 'vector')}, {DIGITS}) AS before, round(1.0::DOUBLE, {DIGITS}) AS after, round(vector[1] / sqrt({ip('vector', 'vector')}), {DIGITS}) AS first FROM emb"),
