@@ -106,3 +106,14 @@ def test_random_trees(rows, trees):
     got = rows.select("n", *(as_boolean(e).alias(f"c{i}") for i, e in enumerate(trees))).collect()
     for r in got:
         assert [r[f"c{i}"] for i in range(len(trees))] == [matches(e, ROWS[r.n]) for e in trees]
+
+
+def test_literals_with_quotes_print_as_they_parse():
+    from vecframe.filters.parser import parse_filter
+    from vecframe.filters.tree import Compare
+
+    for text in ("a = \"it's\"", "a IN ('x', \"y's\")", "a LIKE '%\"q\"%'", "tags CONTAINS \"o'k\""):
+        e = parse_filter(text)
+        assert parse_filter(str(e)) == e
+    with pytest.raises(ValueError):
+        str(Compare("a", "=", "'\""))

@@ -175,3 +175,67 @@ def test_streams(spark, tmp_path):
     near = ingest.match_stream(spark.readStream.schema(schema).parquet(src).select(F.col("name").alias("qid"), F.col("vector").alias("qvec")), c, 0.5)
     near.writeStream.format("memory").queryName("near").trigger(availableNow=True).start().awaitTermination(120)
     assert {(r.qid, r.pk) for r in spark.table("near").collect()} == {("y", "a"), ("z", "b")}
+
+
+def test_half_precision_codes(spark):
+    x = [0.0, 1.0, -1.0, 0.5, 65504.0, 70000.0, -3.14, 0.001, 6.2e-5, 1e-9, float("nan"), float("-inf")]
+    frame = spark.createDataFrame([(x,)], "v array<double>")
+    r = frame.select(quantize.fp16_codes(F.col("v"), "nearest").alias("c"), quantize.fp16_decode(quantize.fp16_codes(F.col("v"), "nearest")).alias("d")).head()
+    want = np.array(x).astype("f2")
+    want[9] = 0
+    assert [c for k, c in enumerate(r.c) if k != 10] == [int(c) for k, c in enumerate(want.view("u2")) if k != 10]
+    assert np.array_equal(np.array(r.d), want.astype("f8"), equal_nan=True)
+
+
+def test_many_centroids_agree_with_few(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(300, 6)).round(1), rng.normal(size=(20, 6)).round(1)
+    c[7] = c[3]  # ties go to the first
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None)], "pk long, vector array<double>").repartition(3)
+    for metric in (Metric.L2, Metric.IP, Metric.COSINE):
+        few = {r.pk: (r.cluster, r.d) for r in cluster.assigned(frame.filter("vector IS NOT NULL"), c.tolist(), metric).collect()}
+        monkeypatch.setattr(cluster, "EXPRESSION_SIZE", 0)
+        many = {r.pk: (r.cluster, r.d) for r in cluster.assigned(frame, c.tolist(), metric).collect()}
+        monkeypatch.undo()
+        assert many.pop(900) == (None, None)
+        assert few.keys() == many.keys() and all(few[k][0] == many[k][0] and abs(few[k][1] - many[k][1]) < 1e-9 for k in few)
+
+
+def test_batch_search_with_ties_and_many_batches(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, size=(700, 4)).astype("f8")
+    best = search.Nearest(x[:9], 5, Metric.L2, None)
+    best.HELD = 50
+    for a in range(0, 700, 37):
+        best.add(np.arange(9), x[a : a + 37], [f"k{n:04}" for n in range(a, min(700, a + 37))])
+    got = {}
+    for b in best.batches(list(range(9))):
+        for q, pk in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got.setdefault(q, []).append(pk)
+    for q in range(9):
+        d = ((x - x[q]) ** 2).sum(1)
+        assert got[q] == [f"k{n:04}" for n in np.lexsort([np.arange(700), d])[:5]]
+
+
+def test_index_maintenance(spark, blobs):
+    index = ivf.IvfIndex.train(blobs, params=ivf.IvfParams(3, 3))
+    held = index.bucketed(blobs)
+    n = index.size(held)
+    some = blobs.limit(4)
+    assert index.size(index.remove(held, some)) == n - 4
+    assert index.size(index.insert(held, some)) == n
+    assert sum(r.n for r in index.statistics(held).collect()) == n
+    assert index.probes_for(1, n) == 1 and index.probes_for(n, n) == 3
+
+
+def test_awaitable_twins(spark):
+    import asyncio
+
+    from vecframe.embed import AsyncEmbedding
+    from vecframe.queries.common import Initials
+
+    model = AsyncEmbedding(Initials())
+    assert model.dimension() == 26 and asyncio.run(model.embed("a b a"))[:2] == [2.0, 1.0]
+    assert asyncio.run(model.embed_sparse_batch(["b"])) == [([1], [1.0])] and asyncio.run(model.embed_batch(["a"]))[0][0] == 1
+    lists = spark.createDataFrame([("x", "a", 0.9), ("x", "b", 0.5), ("y", "b", 0.95)], "list_name string, pk string, score double")
+    assert [r.pk for r in asyncio.run(fusion.AsyncReranker(fusion.RrfReranker(1)).hits(lists))] == ["b"]

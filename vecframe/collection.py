@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .embed import DenseEmbedding
+from .embed import AsyncEmbedding, DenseEmbedding
 from .filters import parse_filter, to_column
 from .filters.tree import Not
 from .operators import dml, search
+from .operators.fusion import AsyncReranker
 from .plans.query import Query, execute
 from .schema import CollectionConfig, Schema
 from .sources.store import MemoryStore, ParquetStore, SnapshotStore
@@ -160,6 +162,9 @@ class Collection:
     def search_text_with_reranker(self, model: DenseEmbedding, text: str, k: int, reranker, condition: str | None = None) -> DataFrame:
         return self.search_with_reranker({"dense": model.embed(text)}, k, reranker, condition)
 
+    async def search_text_with_reranker_async(self, model: AsyncEmbedding, text: str, k: int, reranker: AsyncReranker, condition: str | None = None) -> DataFrame:
+        return await asyncio.to_thread(self.search_with_reranker, {"dense": await model.embed(text)}, k, reranker.inner, condition)
+
     def query(self, q: str | Query, vector: Sequence[float] | None = None, digits: int | None = None) -> DataFrame:
         q = Query.parse(q) if isinstance(q, str) else q
         return execute(q, self.df, self.field, [c for c in self.df.columns if c not in ("pk", "vector")], self.config.metric, vector, digits)

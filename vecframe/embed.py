@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 import json
 import os
 import urllib.request
@@ -150,3 +151,25 @@ def embed_sparse_column(make: Callable[[], SparseEmbedding], text: Column) -> Co
             yield pd.DataFrame({"indices": [list(i) for i, _ in made], "values": [list(v) for _, v in made]})
 
     return run(text)
+
+
+class AsyncEmbedding:
+    """Awaitable calls of an embedding function, which runs in a thread of its own."""
+
+    def __init__(self, inner: DenseEmbedding | SparseEmbedding):
+        self.inner = inner
+
+    def dimension(self) -> int:
+        return self.inner.dimension()
+
+    async def embed(self, text: str) -> list[float]:
+        return await asyncio.to_thread(self.inner.embed, text)
+
+    async def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
+        return await asyncio.to_thread(self.inner.embed_batch, texts)
+
+    async def embed_sparse(self, text: str) -> tuple[list[int], list[float]]:
+        return await asyncio.to_thread(self.inner.embed_sparse, text)
+
+    async def embed_sparse_batch(self, texts: Sequence[str]) -> list[tuple[list[int], list[float]]]:
+        return await asyncio.to_thread(self.inner.embed_sparse_batch, texts)

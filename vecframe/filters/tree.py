@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+
+def quoted(value: str) -> str:
+    """A literal that the parser reads back as value; the language has none for text with both kinds of quotes."""
+    if "'" in value and '"' in value:
+        raise ValueError("no literal holds both kinds of quotes")
+    return f'"{value}"' if "'" in value else f"'{value}'"
+
+
 COMPARISONS = {"=": "!=", "!=": "=", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
 
 
@@ -14,7 +22,7 @@ class Compare:
     value: str
 
     def __str__(self):
-        return f"{self.field} {self.op} '{self.value}'"
+        return f"{self.field} {self.op} {quoted(self.value)}"
 
 
 @dataclass(frozen=True)
@@ -23,7 +31,7 @@ class In:
     values: tuple[str, ...]
 
     def __str__(self):
-        return f"{self.field} IN ({', '.join(repr(v) for v in self.values)})"
+        return f"{self.field} IN ({', '.join(map(quoted, self.values))})"
 
 
 @dataclass(frozen=True)
@@ -32,7 +40,7 @@ class Contains:
     tag: str
 
     def __str__(self):
-        return f"{self.field} CONTAINS '{self.tag}'"
+        return f"{self.field} CONTAINS {quoted(self.tag)}"
 
 
 @dataclass(frozen=True)
@@ -41,7 +49,7 @@ class Like:
     pattern: str
 
     def __str__(self):
-        return f"{self.field} LIKE '{self.pattern}'"
+        return f"{self.field} LIKE {quoted(self.pattern)}"
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ unless it has a column rank from 0.
 
 from __future__ import annotations
 
+import asyncio
 import math
 from dataclasses import dataclass, field
 
@@ -108,3 +109,16 @@ class WeightedReranker:
         for name, x in self.weights.items():
             weight = F.when(F.col("list_name") == name, F.lit(float(x))).otherwise(weight)
         return _reranked(_some(lists), unit * weight, self.top_n)
+
+
+class AsyncReranker:
+    """Awaitable calls of a reranker; hits(lists) also runs the plan, in a thread of its own."""
+
+    def __init__(self, inner: RrfReranker | WeightedReranker):
+        self.inner = inner
+
+    async def rerank(self, lists: DataFrame) -> DataFrame:
+        return await asyncio.to_thread(self.inner.rerank, lists)
+
+    async def hits(self, lists: DataFrame) -> list:
+        return await asyncio.to_thread(lambda: self.inner.rerank(lists).collect())  # top_n rows

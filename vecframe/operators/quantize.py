@@ -29,6 +29,30 @@ def fp16(v: Column, mode: str = "truncate") -> Column:
     return F.transform(vector(v), one)
 
 
+def fp16_codes(v: Column, mode: str = "truncate") -> Column:
+    """The 16 bits of each component's half-precision value: sign, 5 bits of exponent, 10 of mantissa."""
+
+    def one(x: Column) -> Column:
+        a = F.abs(x)
+        e = F.floor(F.log2(a)).cast("int")
+        body = F.when(F.isnan(x), F.lit(0x7E00)).when(a == 0, F.lit(0)).when(a == float("inf"), F.lit(0x7C00))
+        body = body.otherwise((e + 15) * 1024 + F.rint(a / F.pow(F.lit(2.0), e - 10)).cast("int") - 1024)
+        return body + F.when(x < 0, F.lit(0x8000)).otherwise(0)
+
+    return F.transform(fp16(v, mode), one)
+
+
+def fp16_decode(codes: Column) -> Column:
+    """The values of 16-bit codes."""
+
+    def one(c: Column) -> Column:
+        e, m = F.shiftright(c, 10).bitwiseAND(31), c.bitwiseAND(1023)
+        value = F.when(e == 0, 0.0).when((e == 31) & (m > 0), float("nan")).when(e == 31, float("inf")).otherwise((1024 + m) * F.pow(F.lit(2.0), e - 25))
+        return F.when(c >= 0x8000, -value).otherwise(value)
+
+    return F.transform(codes, one)
+
+
 def _affine(v: Column, steps: int, body) -> Column:
     """body(vector, low, scale) with each computed once; scale is 1 where all components are equal."""
 

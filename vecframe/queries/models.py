@@ -208,6 +208,14 @@ FP16 = f"""WITH {EMB}, h AS (SELECT pk, vector, list_transform(CAST(vector AS DO
     SELECT pk, round(list_sum(w), 6) AS total, round({l2('vector', 'w')} * 1e6, 3) AS error FROM h"""
 
 
+def fp16_codes(spark, d):
+    codes = quantize.fp16_codes(F.col("vector"))
+    return vectors(spark, d).select("pk", total(F.transform(codes, lambda c: c.cast("bigint"))).alias("codes"), F.round(quantize.squared_error(F.col("vector"), quantize.fp16_decode(codes)) * 1e6, 3).alias("error"))
+
+
+FP16_CODES = FP16.replace("SELECT pk, round(list_sum(w), 6) AS total,", "SELECT pk, CAST(list_sum(list_transform(w, lambda x: CASE WHEN x = 0 THEN 0 ELSE (floor(log2(abs(x))) + 15) * 1024 + abs(x) / pow(2.0, floor(log2(abs(x))) - 10) - 1024 + CASE WHEN x < 0 THEN 32768 ELSE 0 END END)) AS BIGINT) AS codes,")
+
+
 def as_rows(spark, centers):
     return spark.createDataFrame([(c, i, float(x)) for c, v in enumerate(centers) for i, x in enumerate(v)], "cluster long, i long, x double")
 
@@ -248,6 +256,7 @@ REGISTRY = {
     "int8_dot": (int8_dot, f"WITH {EMB}, {INT8} SELECT x.pk, round({ip(decoded('x'), decoded('y'))}, {DIGITS}) AS dot FROM c8 x JOIN c8 y ON y.pk = x.pk + 1"),
     "int4_pack": (int4_pack, f"WITH {EMB}, {INT4} SELECT pk, CAST(list_sum(list_transform(range(1, len(codes), 2), lambda k: codes[k] * 16 + codes[k + 1])) AS BIGINT) AS packed, CAST((len(codes) + 1) // 2 AS INTEGER) AS bytes, round({l2('v', 'list_transform(codes, lambda k: k * sc + lo)')}, {DIGITS}) AS error FROM c4"),
     "fp16_decode": (fp16, FP16),
+    "fp16_codes": (fp16_codes, FP16_CODES),
     "kmeans_full": (lambda s, d: as_rows(s, cluster.kmeans(vectors(s, d), 5, max_iters=6, seed=1)), None),
     "kmeans_minibatch": (lambda s, d: as_rows(s, cluster.minibatch_kmeans(vectors(s, d), 5, 64, 5, seed=1)), None),
     "elbow": (lambda s, d: s.createDataFrame(cluster.elbow(vectors(s, d), range(1, 4), max_iters=3), "k long, inertia double"), None),

@@ -10,6 +10,10 @@ from ..collection import Collection
 from ..functions import dense
 
 
+#: Documents that a stream is matched with without a key, at most.
+MATCH_DOCUMENTS = 100_000
+
+
 def upsert_stream(stream: DataFrame, collection: Collection, seq: str, checkpoint: str) -> DataStreamWriter:
     """Upserts each micro-batch, the last by seq of each key, and commits a snapshot. A batch that runs again changes nothing."""
 
@@ -24,10 +28,13 @@ def upsert_stream(stream: DataFrame, collection: Collection, seq: str, checkpoin
 def match_stream(stream: DataFrame, collection: Collection, radius: float, key: str = "qid", vector: str = "qvec") -> DataFrame:
     """A stream of (key, pk, score): for each streamed vector the documents at least as good as radius.
 
-    Stream and documents are joined without a key, so the documents should be a bounded set.
+    Stream and documents are joined without a key, so the documents are counted and may be
+    MATCH_DOCUMENTS at most; larger collections are searched with batch_search in foreachBatch.
     """
+    if collection.df.limit(MATCH_DOCUMENTS + 1).count() > MATCH_DOCUMENTS:
+        raise ValueError(f"a stream is matched with at most {MATCH_DOCUMENTS} documents")
     m = collection.config.metric
-    joined = stream.join(collection.df.filter("vector IS NOT NULL").select("pk", "vector"), F.lit(True))
+    joined = stream.join(F.broadcast(collection.df.filter("vector IS NOT NULL").select("pk", "vector")), F.lit(True))
     scored = joined.select(key, "pk", dense.distance(m, F.col("vector"), F.col(vector)).alias("score"))
     return scored.filter(F.col("score") >= radius if m.higher_is_better else F.col("score") <= radius)
 
