@@ -27,26 +27,46 @@ from .shared import bounded_batches, id_and_text, worker_state
 #: Stands for the mark that closes a word; no mapped byte is this character.
 CLOSE = "\n"
 NEVER = 1 << 40
+NONE = 1 << 62
+#: Parts of a word up to which exact merging scans its ranks.
+SHORT = 64
 #: Bounds of what a worker keeps: chunks that are words, other chunks, and pairs of tokens.
 CACHE_WORDS = 260_000
 CACHE_CHUNKS = 80_000
 CACHE_PAIRS = 400_000
+AWAY = 8
 
 
-class Chunks(tokens.Kept):
-    """Ids of words and, apart, of other chunks: those kept, else those learned last."""
+class Chunks(dict):
+    """Ids of chunks: those kept, else those learned last.
+
+    Words and other chunks are kept in the order they come, which holds what is frequent, up
+    to a bound for each; all go once many times as many have been turned away.
+    """
 
     def __init__(self, words: int, others: int):
-        super().__init__(words)
-        self.others, self.fresh = tokens.Kept(others), {}
+        super().__init__()
+        self.bounds, self.fresh = (others, words), {}
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.room, self.away = list(self.bounds), 0
 
     def __missing__(self, chunk: str) -> bytes:
-        return self.others[chunk] if chunk in self.others else self.fresh[chunk]
+        return self.fresh[chunk]
 
     def keep(self) -> None:
         for c, ids in self.fresh.items():
-            (self if c.isalpha() else self.others).put(c, ids)
+            kind = c.isalpha()
+            if self.room[kind]:
+                self[c] = ids
+                self.room[kind] -= 1
+            else:
+                self.away += 1
         self.fresh = {}
+        if self.away > AWAY * sum(self.bounds):
+            self.empty()
 
 
 class Bpe:
@@ -73,27 +93,31 @@ class Bpe:
         self.letters = dict(enumerate(tokens.byte_letters()))
         self.words = regex.compile(tokens.FORM["split"])
         self.by_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
-        self.longest = max(map(len, self.ids))
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.size, self.bits = size, size.bit_length()
+        self.merges: dict[int, int] = {}  # a * size + b: the rank, and below it in `bits` bits what a and b give
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merges.setdefault((self.ids[self.close(a)], self.ids[self.close(b)]), (rank, self.ids[self.close(a + b)]))
+            self.merges.setdefault(self.ids[self.close(a)] * size + self.ids[self.close(b)], rank << self.bits | self.ids[self.close(a + b)])
         self._derive(size)
+        self.reach: dict[str, int] = {}  # the longest proposal that starts with three characters
+        for t in self.proposals:
+            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 2))
         self.pairs: dict[int, bool] = {}
         self.chunks = Chunks(CACHE_WORDS, CACHE_CHUNKS)
 
     def _derive(self, size: int) -> None:
         """How each token is made, and which tokens are not what merging gives for them."""
-        keys = np.array([a * size + b for a, b in self.merges], "i8")
-        ranks = np.array([r for r, _ in self.merges.values()], "i8")
+        keys = np.fromiter(self.merges, "i8", len(self.merges))
+        ranks = np.fromiter(self.merges.values(), "i8", len(self.merges)) >> self.bits
         order = np.argsort(keys)
-        self.size, self.keys, self.ranks = size, keys[order], ranks[order]
+        self.keys, self.ranks = keys[order], ranks[order]
         self.made = np.full(size, -1, "i8")
         self.left, self.right = np.zeros(size, "i8"), np.zeros(size, "i8")
         times = np.zeros(size, int)
-        for (a, b), (rank, to) in self.merges.items():
+        for key, value in self.merges.items():
+            to = value & ((1 << self.bits) - 1)
             times[to] += 1
-            self.made[to], self.left[to], self.right[to] = rank, a, b
+            self.made[to], (self.left[to], self.right[to]) = value >> self.bits, divmod(key, size)
         for to in np.flatnonzero(times > 1).tolist():  # several merges give it: ask which one does
             self._merge(self._base(self.strings_closed(to)), to)
         merged = np.flatnonzero(self.made >= 0)
@@ -147,32 +171,43 @@ class Bpe:
 
     def _merge(self, parts: list[int], derive: int | None = None) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost of equals."""
-        n, merges = len(parts), self.merges
+        n, size, low, get = len(parts), self.size, (1 << self.bits) - 1, self.merges.get
+        if n <= SHORT and derive is None:  # a scan of so few ranks is faster than a heap
+            ranks = [get(a * size + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+            while ranks and (best := min(ranks)) != NONE:
+                i = ranks.index(best)
+                parts[i] = best & low
+                del parts[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = get(parts[i] * size + parts[i + 1], NONE)
+                if i:
+                    ranks[i - 1] = get(parts[i - 1] * size + parts[i], NONE)
+            return parts
         nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (m := merges.get((parts[i], parts[i + 1])))]
+        heap = [(m, i, parts[i], parts[i + 1]) for i in range(n - 1) if (m := get(parts[i] * size + parts[i + 1], NONE)) != NONE]
         heapq.heapify(heap)
         while heap:
-            rank, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = nxt[i] if parts[i] == a else -1
             if j < 0 or parts[j] != b:
                 continue
-            parts[i] = merges[a, b][1]
+            parts[i] = best & low
             parts[j] = -1
             nxt[i] = nxt[j]
             if nxt[i] >= 0:
                 prv[nxt[i]] = i
             for k, o in ((prv[i], i), (i, nxt[i])):
-                if k >= 0 and o >= 0 and (m := merges.get((parts[k], parts[o]))):
-                    heapq.heappush(heap, (m[0], k, parts[k], parts[o]))
+                if k >= 0 and o >= 0 and (m := get(parts[k] * size + parts[o], NONE)) != NONE:
+                    heapq.heappush(heap, (m, k, parts[k], parts[o]))
             if derive is not None and parts[i] == derive:
-                self.made[derive], self.left[derive], self.right[derive] = rank, a, b
+                self.made[derive], self.left[derive], self.right[derive] = best >> self.bits, a, b
         return [p for p in parts if p >= 0]
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None where it comes to a character that it cannot place."""
-        out, at, n, get, longest = [], 0, len(word), self.proposals.get, self.longest
+        out, at, n, get, reach = [], 0, len(word), self.proposals.get, self.reach.get
         while at < n:
-            for stop in range(min(n, at + longest), at, -1):
+            for stop in range(min(n, at + reach(word[at : at + 3], 2)), at, -1):
                 if stop != n - 1 and (t := get(word[at:stop])) is not None:  # the mark never stands alone
                     out.append(t)
                     at = stop
@@ -203,7 +238,7 @@ class Bpe:
         known = self.chunks
         split = {c: self.words.findall(c) for c in chunks if not c.isalpha()}
         words = [c for c in chunks if c.isalpha()]
-        words = list(dict.fromkeys([*words, *(w for ws in split.values() for w in ws if w not in known and w not in known.others)]))
+        words = list(dict.fromkeys([*words, *(w for ws in split.values() for w in ws if w not in known)]))
         known.fresh = {w: array("I", ids).tobytes() for w, ids in zip(words, self.encode_words([self._mapped(w) for w in words]), strict=True)}
         for c, ws in split.items():
             if c not in known.fresh:  # a chunk that is one word
@@ -235,7 +270,7 @@ class Bpe:
             else:
                 held.append(self._any(text))
             if size >= group or k == len(texts) - 1:
-                if new := {c for h in held if isinstance(h, list) for c in h} - self.chunks.keys() - self.chunks.others.keys():
+                if new := {c for h in held if isinstance(h, list) for c in h} - self.chunks.keys():
                     self.learn(list(new))
                 get = self.chunks.__getitem__
                 out += [h if isinstance(h, bytes) else b"".join(map(get, h)) for h in held]
