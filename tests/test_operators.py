@@ -239,3 +239,23 @@ def test_awaitable_twins(spark):
     assert asyncio.run(model.embed_sparse_batch(["b"])) == [([1], [1.0])] and asyncio.run(model.embed_batch(["a"]))[0][0] == 1
     lists = spark.createDataFrame([("x", "a", 0.9), ("x", "b", 0.5), ("y", "b", 0.95)], "list_name string, pk string, score double")
     assert [r.pk for r in asyncio.run(fusion.AsyncReranker(fusion.RrfReranker(1)).hits(lists))] == ["b"]
+
+
+def test_large_codebooks_agree_with_small(spark, blobs, monkeypatch):
+    i = ivf.IvfPqIndex.train(blobs, 2, ivf.IvfParams(3, 3, 3, 2), 4)
+    want = {r.pk: r.score for r in i.search(i.encoded(blobs), [0.1, 0.2], 20).collect()}
+    monkeypatch.setattr(cluster, "EXPRESSION_SIZE", 0)
+    got = {r.pk: r.score for r in i.search(i.encoded(blobs), [0.1, 0.2], 20).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    codes = i.encoded(blobs)
+    decoded = codes.select("pk", i.pq.decode(F.col("codes")).alias("v")).collect()
+    monkeypatch.undo()
+    assert {r.pk: r.v for r in codes.select("pk", i.pq.decode(F.col("codes")).alias("v")).collect()} == {r.pk: r.v for r in decoded}
+
+
+def test_seeds_are_distinct_rows(spark, blobs):
+    seeds = cluster.plus_plus(blobs, 5, seed=3)
+    assert seeds == cluster.plus_plus(blobs.repartition(5), 5, seed=3)
+    assert len({tuple(x) for x in seeds}) == 5
+    same = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(4)], "pk long, vector array<double>")
+    assert cluster.plus_plus(same, 9) == [[1.0, 1.0]] * 4

@@ -14,7 +14,9 @@ from .search import losses, matrix_of, products
 
 Centroids = list[list[float]]
 #: Components of all centroids up to which they are written into an expression.
-EXPRESSION_SIZE = 2_048
+EXPRESSION_SIZE = 1_024
+#: Vectors that seeds of k-means are drawn from, about.
+SEED_ROWS = 20_000
 
 
 def literal(centroids: Centroids) -> Column:
@@ -64,6 +66,26 @@ def assign(vector: Column, centroids: Centroids, metric: Metric = Metric.L2) ->
     return let(dense.vector(vector), nearest)
 
 
+def lists(rows: np.ndarray, there: pa.Array) -> pa.Array:
+    """A list of each row of a matrix; null where not there."""
+    offsets = pa.array(np.arange(len(rows) + 1, dtype="i4") * rows.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(rows.reshape(-1)), mask=pc.invert(there))
+
+
+def picked(centroids: Centroids, at: Column) -> Column:
+    """The centroid at a place, as literals or, beyond EXPRESSION_SIZE, from a matrix."""
+    if sum(map(len, centroids)) <= EXPRESSION_SIZE:
+        return F.get(literal(centroids), at)
+    matrix = np.array(centroids, "f8")
+
+    @F.arrow_udf("array<double>")
+    def by_place(places: pa.Array) -> pa.Array:
+        there = pc.is_valid(places)
+        return lists(matrix[pc.fill_null(places, 0).to_numpy()], there)
+
+    return by_place(at.cast("int"))
+
+
 def assigned(df: DataFrame, centroids: Centroids, metric: Metric = Metric.L2, vector: str = "vector") -> DataFrame:
     """df with cluster and d; no shuffle."""
     return df.withColumn("_a", assign(F.col(vector), centroids, metric)).withColumn("cluster", F.col("_a.cluster")).withColumn("d", F.col("_a.d")).drop("_a")
@@ -101,31 +123,39 @@ def lloyd_step(df: DataFrame, centroids: Centroids, metric: Metric = Metric.L2,
     return new
 
 
-def _weight(centroids: Centroids, metric: Metric, vector: Column) -> Column:
-    d = assign(vector, centroids, metric)["d"]
-    d = d if metric is Metric.L2 else F.greatest(1 + d, F.lit(0.0))
-    return d * d
+def sampled(df: DataFrame, rows: int, seed: int, vector: str, key: str) -> np.ndarray:
+    """About `rows` vectors (all, if there are no more), chosen and ordered by a hash of key and seed."""
+    chosen = df.filter(F.col(vector).isNotNull()).select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    total = chosen.count()
+    if total > rows:
+        chosen = chosen.filter(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+    table = chosen.orderBy("h", "key").select("v").toArrow().combine_chunks()
+    if not len(table):
+        raise ValueError("no vectors to cluster")
+    return matrix_of(table.column(0).combine_chunks())
 
 
 def plus_plus(df: DataFrame, k: int, metric: Metric = Metric.L2, seed: int = 0, vector: str = "vector", key: str = "pk") -> Centroids:
-    """k-means++ seeds: each next one is drawn with the squared distance as weight.
+    """k-means++ seeds from a sample of at most about SEED_ROWS vectors, in one pass over the data.
 
-    The draw is the least of -ln(u) / weight with u from a hash of key and seed, so it
-    needs one pass, no sort, and repeats. Where all weights are 0 it is uniform.
+    Each next seed is drawn with the squared distance as weight, and uniformly where all
+    weights are 0. The same seeds for the same rows, key and seed.
     """
-    u = lambda n: (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(n)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    rows = df.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
-    out: Centroids = []
-    for n in range(k):
-        race = -F.log(u(n))
-        if out:
-            w = _weight(out, metric, F.col("v"))
-            race = F.when(w > 0, race / w).otherwise(1e300 + race)
-        taken = rows.orderBy(race, key).limit(1).collect()
-        if not taken:
-            raise ValueError("no vectors to cluster")
-        out.append(list(taken[0].v))
-    return out
+    x = sampled(df, SEED_ROWS, seed, vector, key)
+    rng = np.random.default_rng(seed)
+    out = [int(rng.integers(len(x)))]
+    least = np.full(len(x), np.inf)
+    while len(out) < min(k, len(x)):
+        d = losses(metric, x, x[out[-1]])
+        least = np.minimum(least, d if metric is Metric.L2 else np.maximum(1 + d, 0.0))
+        weight = least**2
+        weight[out] = 0
+        total = weight.sum()
+        rest = np.ones(len(x)) if total == 0 else weight
+        if total == 0:
+            rest[out] = 0
+        out.append(int(rng.choice(len(x), p=rest / rest.sum())))
+    return x[out].tolist()
 
 
 def kmeans(df: DataFrame, k: int, metric: Metric = Metric.L2, max_iters: int = 20, seed: int = 0, vector: str = "vector", key: str = "pk", init: Centroids | None = None) -> Centroids:

@@ -170,4 +170,4 @@ class IvfPqIndex:
 
 
 def residual(v, bucket, ivf: IvfIndex):
-    return F.zip_with(dense.vector(v), F.get(cluster.literal(ivf.centroids), bucket), lambda x, c: x - c)
+    return F.zip_with(dense.vector(v), cluster.picked(ivf.centroids, bucket), lambda x, c: x - c)

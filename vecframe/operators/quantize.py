@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import let
 from ..functions.dense import l2_squared, vector
+from ..schema import Metric
 from . import cluster
+from .search import matrix_of
 
 
 def fp16(v: Column, mode: str = "truncate") -> Column:
@@ -119,6 +124,10 @@ class ProductQuantizer:
     def m(self) -> int:
         return len(self.codebook)
 
+    @property
+    def large(self) -> bool:
+        return sum(len(b) for b in self.codebook) * self.width > cluster.EXPRESSION_SIZE
+
     @property
     def width(self) -> int:
         return len(self.codebook[0][0])
@@ -152,10 +161,37 @@ class ProductQuantizer:
         return F.slice(v, s * self.width + 1, self.width)
 
     def encode(self, v: Column) -> Column:
-        """ARRAY<INT> of the nearest code of each sub-vector."""
+        """ARRAY<INT> of the nearest code of each sub-vector; as cluster.assign, by literals or by matrix products."""
+        if self.large:
+            books, w = [np.array(b, "f8") for b in self.codebook], self.width
+
+            @F.arrow_udf("array<int>")
+            def by_products(vectors: pa.Array) -> pa.Array:
+                there = pc.is_valid(vectors)
+                at = np.flatnonzero(there.to_numpy(zero_copy_only=False))
+                codes = np.zeros((len(vectors), len(books)), "i4")
+                x = matrix_of(vectors.take(pa.array(at)))
+                for s, book in enumerate(books):
+                    codes[at, s] = cluster.nearest_rows(Metric.L2, x[:, s * w : (s + 1) * w], book)[1]
+                return cluster.lists(codes, there)
+
+            return by_products(v.cast("array<double>"))
         return let(vector(v), lambda x: F.array(*(cluster.assign(self.sub(x, s), self.codebook[s])["cluster"] for s in range(self.m))))
 
     def decode(self, codes: Column) -> Column:
+        if self.large:
+            books = [np.array(b, "f8") for b in self.codebook]
+
+            @F.arrow_udf("array<double>")
+            def by_place(codes: pa.Array) -> pa.Array:
+                there = pc.is_valid(codes)
+                at = np.flatnonzero(there.to_numpy(zero_copy_only=False))
+                out = np.zeros((len(codes), sum(b.shape[1] for b in books)))
+                own = matrix_of(codes.take(pa.array(at))).astype("i8")
+                out[at] = np.concatenate([b[own[:, s]] for s, b in enumerate(books)], 1)
+                return cluster.lists(out, there)
+
+            return by_place(codes.cast("array<int>"))
         return let(codes, lambda k: F.flatten(F.array(*(F.get(cluster.literal(self.codebook[s]), F.get(k, s)) for s in range(self.m)))))
 
     def table(self, query: list[float]) -> list[list[float]]:
