@@ -115,3 +115,15 @@ def test_redaction(spark):
 
 def test_secrets_of_an_empty_table(spark):
     assert secretscan.scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_repositories_and_owners_are_counted_apart(spark):
+    value = lambda k: f"k{k}aB3dE5fG7hJ9kL1mN3pQ5"
+    rows = []
+    for n in range(4):  # value 0: four repositories of one owner; 1: one repository, four owners; 2: two of both
+        rows += [(10 + n, value(0), f"r{n}", "o"), (20 + n, value(1), "r", f"o{n}"), (30 + n, value(2), f"r{n % 2}", f"o{n % 2}")]
+    frame = spark.createDataFrame([(d, f"see {t} here", r, o) for d, t, r, o in rows], "doc_id long, text string, repository string, owned string").repartition(3)
+    got = {r.doc_id: r.n_owned for r in secretscan.scan_secrets(frame, repo="repository", owner="owned").collect()}
+    assert {d for d, n in got.items() if n} == {30, 31, 32, 33}
+    wide = {r.doc_id: r.n_owned for r in secretscan.scan_secrets(frame, repo="repository", owner="owned", max_repos=4).collect()}
+    assert {d for d, n in wide.items() if n} == {10, 11, 12, 13, 30, 31, 32, 33}
