@@ -1,6 +1,9 @@
 import hashlib
 import io
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -127,3 +130,26 @@ def test_bounded_caches_change_no_ids(monkeypatch):
     got = [x for k in range(0, len(texts), 6) for x in coder.encode(texts[k : k + 6], group=60)]
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library_ids(t) for t in texts]
     assert len(coder.chunks) <= 8
+
+
+def test_the_encoder_keeps_no_second_vocabulary():
+    assert bpe.Bpe(SPEC).library.get_vocab_size() == 0
+
+
+def test_freed_memory_goes_back_between_batches():
+    code = """
+import re
+from vecframe.llm import shared, textbytes
+held = lambda: int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+textbytes.powers(5)
+shared.worker_state("another operator")
+assert "powers" not in shared._state
+first, pins = held(), []
+for _ in shared.lean(range(3)):
+    assert held() < first + 40, held()
+    many = [bytes(2000) for _ in range(50_000)]
+    pins.append(bytes(2000))  # above them, so that the heap's end cannot fall
+    del many
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

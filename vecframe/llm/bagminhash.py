@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, id_and_text, small, worker_state, written
+from .shared import bounded_batches, id_and_text, lean, small, worker_state, written
 from .textbytes import BASE, counted, groups, mix, shingles, utf8
 
 K, SIMILARITY = 5, 0.8
@@ -101,7 +101,7 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches):
         worker_state("signatures")
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = utf8(batch.column(3))
             for a, b in groups(offsets, SLICE):
                 for a2 in range(a, b, 10_000):  # counted() takes up to 65536 texts
@@ -124,7 +124,8 @@ def alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Data
     """Of pairs (a, b), those whose texts (node, text) have at least the similarity."""
 
     def check(batches):
-        for batch in batches:
+        worker_state("signatures")
+        for batch in lean(batches):
             left, right = utf8(batch.column(2)), utf8(batch.column(3))
             both = left[1] + right[1]
             for s, e in groups(both, SLICE):
@@ -164,8 +165,9 @@ def in_groups(rows: DataFrame, find, schema: str) -> DataFrame:
     names = rows.columns
 
     def search(batches):
+        worker_state("signatures")
         held = []
-        for batch in batches:
+        for batch in lean(batches):
             held.append(batch)
             table = pa.Table.from_batches(held).combine_chunks()
             keys = np.stack([table.column(c).to_numpy() for c in ("band", "i", "j")])

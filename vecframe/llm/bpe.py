@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .shared import bounded_batches, id_and_text, worker_state
+from .shared import bounded_batches, id_and_text, lean, worker_state
 
 #: Stands for the mark that closes a word; no mapped byte is this character.
 CLOSE = "\n"
@@ -79,8 +79,9 @@ class Bpe:
         spec = json.loads(spec_json)
         if not tokens.independent_chunks(spec) or not spec["model"].get("end_of_word_suffix") or spec.get("decoder") is not None:
             raise ValueError("this needs byte-level BPE with word ends, lower case and no decoder")
-        self.library = Tokenizer.from_str(spec_json)  # its normaliser and splitter serve texts beyond Latin letters
         model = spec["model"]
+        #: The library without words and merges: its normaliser and splitter serve texts beyond Latin letters.
+        self.library = Tokenizer.from_str(json.dumps({**spec, "model": {**model, "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         end = model["end_of_word_suffix"]
         self.end = end
         self.close = lambda t: t[: -len(end)] + CLOSE if t.endswith(end) else t
@@ -299,7 +300,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> Da
 
     def digest(batches):
         bpe = worker_bpe(spec.value)
-        for batch in batches:
+        for batch in lean(batches):
             coded = [np.frombuffer(x, "<u4") for x in bpe.encode(batch.column(1).to_pylist())]
             columns = [
                 batch.column(0),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, bounded_sample, held_out, worker_state, written
+from .shared import bounded_batches, bounded_sample, held_out, lean, worker_state, written
 from .textbytes import BASE
 
 BITS, ORDER = 16, 4
@@ -111,7 +111,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 codes, at = np.unique(np.concatenate([a for a, _ in arrays]), return_inverse=True)
                 held[lang] = [(codes, np.bincount(at, np.concatenate([n for _, n in arrays])).astype("i8"))]
 
-        for batch in batches:
+        for batch in lean(batches):
             langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 own = [texts[i] for i in np.flatnonzero(langs == lang)]
@@ -384,7 +384,7 @@ def fit(train: DataFrame) -> LanguageModel:
 
     def own_sums(batches):
         sums = np.zeros((len(shared.value.languages), 4))
-        for batch in batches:
+        for batch in lean(batches):
             own, h, lengths = measured(batch)
             h = h[np.arange(len(own)), own]
             for k, x in enumerate((np.ones(len(h)), h, h * h, np.log2(lengths))):
@@ -409,7 +409,7 @@ def verdict(docs: DataFrame, folds: int = 5, fold: int = 0) -> Column:
     names = ["lang_pred", "score", "cross_entropy", "rejected"]
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in lean(batches):
             lang, score, h, rejected = model.value.predict(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64()), pa.array(rejected, pa.bool_())], names)
 

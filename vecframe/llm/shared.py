@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +31,34 @@ def worker_state(key, make=lambda: None):
     """
     if key not in _state:
         _state.clear()
+        release()
         _state[key] = make()
+        release()
     return _state[key]
 
 
+def beside(key, make):
+    """What make() gives, kept beside the tables of worker_state, and gone with them."""
+    if key not in _state:
+        _state[key] = make()
+    return _state[key]
+
+
+def release() -> None:
+    """Gives back to the system what this Python worker has freed; allocators else keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(batches: Iterable) -> Iterator:
+    """The batches; what was freed while one was worked on goes back to the system before the next."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's bound of bytes in an Arrow batch to BATCH_BYTES, for what the operators run and return."""
     now = str(spark.conf.get(BATCH_SETTING)).lower().removesuffix("b")

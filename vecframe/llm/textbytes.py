@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import beside
+
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
-_powers: list[np.ndarray] = []
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +56,15 @@ WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SLICE + (1 << 18))
-        steps = np.full(n, BASE, "u8")
+    held = beside("powers", list)
+    if not held or len(held[0]) < n:
+        most = max(n, SLICE + (1 << 18))
+        steps = np.full(most, BASE, "u8")
         steps[0] = 1
-        inverse = np.full(n, pow(BASE, -1, 1 << 64), "u8")
+        inverse = np.full(most, pow(BASE, -1, 1 << 64), "u8")
         inverse[0] = 1
-        _powers[:] = [np.multiply.accumulate(steps), np.multiply.accumulate(inverse)]
-    return _powers[0][:n], _powers[1][:n]
+        held[:] = [np.multiply.accumulate(steps), np.multiply.accumulate(inverse)]
+    return held[0][:n], held[1][:n]
 
 
 class SpanHash:
