@@ -140,6 +140,28 @@ def test_near_duplicates_in_crowded_bands(spark, monkeypatch, block_bytes):
     assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame).collect()} == want
 
 
+def test_candidates_of_one_band_are_all_compared(spark, monkeypatch):
+    def one_band(doc, element, count, texts, registers):
+        """All texts share the first band and nothing else: estimates fall far short."""
+        out = np.zeros((texts, registers), "u8")
+        for t in range(texts):
+            out[t, 5:] = np.random.default_rng(int(np.bitwise_xor.reduce(element[doc == t]))).integers(1, 1 << 32, registers - 5)
+        return out
+
+    monkeypatch.setattr(bagminhash, "signatures", one_band)
+    rng = np.random.default_rng(11)
+    docs = []
+    for k in range(24):
+        w = [f"w{k % 4}_{x}" for x in range(100)] if k >= 4 else [f"w{k}_{x}" for x in range(100)]
+        for at in rng.choice(100, rng.integers(0, 6), replace=False):
+            w[at] = f"n{k}_{at}"
+        docs.append((k, " ".join(w)))
+    docs += [(40, "la " * 80_000), (41, "la " * 70_000), (42, "la " * 50_000)]  # buckets of the first two are full
+    want = classes(docs)
+    assert 7 < len(set(want.values())) < 20 and want[41] == 40 and want[42] == 42
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()} == want
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     rng = np.random.default_rng(8)
     say = lambda first: " ".join([first, *(f"w{x}" for x in rng.integers(0, 500, 99))])
@@ -339,6 +361,15 @@ def test_kneser_ney_is_a_distribution():
     assert abs(np.exp(model.log_probabilities(every).astype("f8")).sum() - 1) < 1e-4
 
 
+def test_no_ngram_goes_where_no_bound_is_set(spark):
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 100_000))) for _ in range(11)]
+    rows = [(k, t, "zh") for k, t in enumerate([*texts, texts[0][:1000]])] + [(100, "the cat", "en"), (101, "die Katze", "de"), (102, "le chat", "fr")]
+    held = {tuple(x) for t in texts for x in zip(t, t[1:], t[2:], t[3:], strict=False)}
+    model = langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert len(model.codes[-1].order) >= len(held) > 1_000_000
+
+
 def test_rare_ngrams_go_beyond_the_bound(spark, monkeypatch):
     frame = spark.createDataFrame([(1, "abcd " * 50 + "xyz qrs tuv", "x")], "doc_id long, text string, lang string")
     monkeypatch.setattr(langid, "GRAMS", 8)

@@ -12,8 +12,9 @@ Registers are joined in bands, and texts that share a band are candidates. Texts
 share many bands with the least text of these bands are compared with it exactly, and the
 links found make components. Where the texts of a band are then of several components,
 those outside its largest component meet all texts of the band in blocks: first as
-signatures, then, where signatures leave it possible, as texts. So a group of copies costs
-its size, not the square of it, and no pair of candidates between components is left out.
+shingle counts folded to FOLD buckets, from which no text can look less similar than it is,
+then, where these leave it possible, as texts. So a group of copies costs its size, not the
+square of it, and no pair of candidates between components is left out.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ BANDS, ROWS = 32, 5
 SLICE = 1 << 19
 BLOCK = 1_000  # texts of a band that meet in one group with as many others
 BLOCK_BYTES = 8 << 20  # of their texts
-SLACK = 4.5  # standard deviations by which signatures may fall short of the similarity
+FOLD = 256  # buckets to which shingle counts are folded; the first bits of a hash name one
+FULL = 0xFFFF  # the most that a bucket holds
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -93,11 +95,17 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / np.maximum(total - least, 1)
 
 
+def folded(h: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """How many shingles each text has in each of FOLD buckets, up to FULL."""
+    bucket = (h >> np.uint64(64 - (FOLD - 1).bit_length())).astype("i8")
+    return np.minimum(np.bincount(doc * FOLD + bucket, minlength=texts * FOLD), FULL).astype("<u2").reshape(texts, FOLD)
+
+
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, t1, t2 (a hash of the text), bands (keys; none for a text without words), signature (16 bits
-    a register) and size (shingles)."""
+    """doc_id, t1, t2 (a hash of the text), bands (keys; none for a text without words), folded (shingles in each
+    of FOLD buckets, 16 bits each) and size (shingles)."""
     registers = bands * rows
-    names = ["doc_id", "t1", "t2", "bands", "signature", "size"]
+    names = ["doc_id", "t1", "t2", "bands", "folded", "size"]
 
     def sign(batches):
         worker_state("signatures")
@@ -112,12 +120,12 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     keys = band_keys(s, bands).view("i8")[size > 0]
                     ends = np.concatenate([[0], np.cumsum((size > 0) * bands)]).astype("i4")
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
-                    at = np.arange(b2 - a2 + 1, dtype="i4") * (2 * registers)
-                    low = pa.Array.from_buffers(pa.binary(), b2 - a2, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(s.astype("<u2").tobytes())])
-                    yield pa.RecordBatch.from_arrays([*(c[a2:b2] for c in batch.columns[:3]), lists, low, pa.array(size)], names)
+                    at = np.arange(b2 - a2 + 1, dtype="i4") * (2 * FOLD)
+                    counts = pa.Array.from_buffers(pa.binary(), b2 - a2, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(folded(h, doc, b2 - a2).tobytes())])
+                    yield pa.RecordBatch.from_arrays([*(c[a2:b2] for c in batch.columns[:3]), lists, counts, pa.array(size)], names)
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2"), "text")
-    return hashed.mapInArrow(sign, "doc_id long, t1 long, t2 long, bands array<long>, signature binary, size long")
+    return hashed.mapInArrow(sign, "doc_id long, t1 long, t2 long, bands array<long>, folded binary, size long")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -182,32 +190,37 @@ def in_groups(rows: DataFrame, find, schema: str) -> DataFrame:
     return rows.select(*names).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(search, schema)
 
 
-def candidates(asks: int, at: np.ndarray, own: np.ndarray, node: np.ndarray, minor: np.ndarray, size: np.ndarray, signature: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows `at`, those of other components that may be similar enough to row `asks`, and their share of equal registers."""
+def candidates(asks: int, at: np.ndarray, own: np.ndarray, node: np.ndarray, minor: np.ndarray, size: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows `at`, those of other components that may be similar enough to row `asks`, and the most that they can be.
+
+    Folded counts have at least as many shingles in common as the texts, so that no similar text
+    is left out. Where buckets of both texts may be full, they leave the pair possible.
+    """
     at = at[(own[at] != own[asks]) & (~minor[at] | (node[at] < node[asks]))]
-    at = at[np.minimum(size[at], size[asks]) >= similarity * np.maximum(size[at], size[asks])]
-    equal = (signature[at] == signature[asks]).mean(1)
-    near = equal >= similarity - SLACK * np.sqrt(similarity * (1 - similarity) / signature.shape[1])
-    return at[near], equal[near]
+    at = at[np.minimum(size[at], size[asks]) >= similarity * np.maximum(size[at], size[asks]) - 1e-6]
+    common = np.minimum(counts[at], counts[asks]).sum(1, dtype="i8")
+    most = np.where(np.minimum(size[at], size[asks]) > FULL, 1.0, common / (size[at] + size[asks] - common))
+    near = most >= similarity - 1e-12
+    return at[near], most[near]
 
 
-def _columns(table: pa.Table, registers: int) -> dict[str, np.ndarray]:
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     out = {c: table.column(c).to_numpy() for c in ("band", "node", "own", "minor", "asks", "size")}
-    raw = b"".join(table.column("signature").to_pylist())
-    return out | {"signature": np.frombuffer(raw, "<u2").reshape(len(table), registers)}
+    raw = b"".join(table.column("folded").to_pylist())
+    return out | {"folded": np.frombuffer(raw, "<u2").reshape(len(table), FOLD)}
 
 
-def possible(rows: DataFrame, similarity: float, registers: int) -> DataFrame:
+def possible(rows: DataFrame, similarity: float) -> DataFrame:
     """band, node of the texts that may have a similar text of another component in the band."""
 
     def find(table, starts):
-        c = _columns(table, registers)
+        c = _columns(table)
         hit = np.zeros(len(table), bool)
         for s, e in zip(starts, [*starts[1:], len(table)], strict=True):
             asks = c["asks"][s:e]
             asked = s + np.flatnonzero(~asks)
             for q in (s + np.flatnonzero(asks)).tolist():
-                near, _ = candidates(q, asked, c["own"], c["node"], c["minor"], c["size"], c["signature"], similarity)
+                near, _ = candidates(q, asked, c["own"], c["node"], c["minor"], c["size"], c["folded"], similarity)
                 if len(near):
                     hit[q] = hit[near] = True
         yield pa.RecordBatch.from_arrays([pa.array(c["band"][hit]), pa.array(c["node"][hit])], ["band", "node"])
@@ -231,9 +244,9 @@ def links_between(c: dict[str, np.ndarray], texts: list[str], k: int, similarity
     asked = np.flatnonzero(~c["asks"])
     out, root = [], c["own"].copy()
     for q in np.flatnonzero(c["asks"]).tolist():
-        near, equal = candidates(q, asked, root, c["node"], c["minor"], c["size"], c["signature"], similarity)
+        near, most = candidates(q, asked, root, c["node"], c["minor"], c["size"], c["folded"], similarity)
         key, n = bag[q]
-        for j in near[np.argsort(-equal, kind="stable")].tolist():
+        for j in near[np.argsort(-most, kind="stable")].tolist():
             if root[j] == root[q]:
                 continue
             other, m = bag[j]
@@ -247,11 +260,11 @@ def links_between(c: dict[str, np.ndarray], texts: list[str], k: int, similarity
     return out
 
 
-def compared(rows: DataFrame, k: int, similarity: float, registers: int) -> DataFrame:
+def compared(rows: DataFrame, k: int, similarity: float) -> DataFrame:
     """a, b: links between components, from groups of rows with texts."""
 
     def find(table, starts):
-        c = _columns(table, registers)
+        c = _columns(table)
         for s, e in zip(starts, [*starts[1:], len(table)], strict=True):
             found = links_between({x: y[s:e] for x, y in c.items()}, table.column("text").slice(s, e - s).to_pylist(), k, similarity)
             pairs = np.array(found, "i8").reshape(-1, 2)
@@ -283,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     base = id_and_text(docs)
     signs = written(signed(base.filter("doc_id IS NOT NULL"), k, bands, rows), "signatures")
     worded = signs.filter(F.size("bands") > 0)
-    nodes = written(worded.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", "signature", "size"))), "nodes")
+    nodes = written(worded.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", "folded", "size"))), "nodes")
     held = signs.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("low"), F.max(F.struct("t1", "t2")).alias("high"))
     several = small(written(held.filter("low <> high").select("doc_id"), "several"))  # doc_ids with different texts
     joint = worded.select("doc_id", "t1", "t2").join(several, "doc_id").distinct().join(nodes.select("t1", "t2", "node"), ["t1", "t2"])
@@ -301,11 +314,11 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     owned = written(owned, "owned")
     mixed = owned.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("band")
     rest = written(owned.join(small(written(mixed, "mixed")), "band"), "rest")
-    signature = nodes.select("node", "t1", "t2", "signature", "size")
-    open_rows = written(possible(dealt(rest).join(signature.drop("t1", "t2"), "node"), similarity, bands * rows).distinct(), "possible")
+    counts = nodes.select("node", "t1", "t2", "folded", "size")
+    open_rows = written(possible(dealt(rest).join(counts.drop("t1", "t2"), "node"), similarity).distinct(), "possible")
     texts = texts_of(base, nodes, written(open_rows.select("node").distinct(), "wanted"))
-    last = written(rest.join(open_rows, ["band", "node"]).join(texts, "node").withColumn("bytes", F.octet_length("text")).join(signature, ["node", "t1", "t2"]).drop("t1", "t2"), "open")
-    more = written(compared(dealt(last, "bytes"), k, similarity, bands * rows), "links")
+    last = written(rest.join(open_rows, ["band", "node"]).join(texts, "node").withColumn("bytes", F.octet_length("text")).join(counts, ["node", "t1", "t2"]).drop("t1", "t2"), "open")
+    more = written(compared(dealt(last, "bytes"), k, similarity), "links")
     if more.limit(1).count():
         found = components(links.union(more))
 

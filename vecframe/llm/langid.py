@@ -3,7 +3,7 @@
 Letters are lower-cased and each run of other characters is one boundary. An n-gram of
 ORDER letters is a 64-bit hash: 16 bits a letter, which keep every letter of the basic
 plane apart (others fold into its private area). n-grams of all training documents are
-counted by language; the models hold, for each order, a sorted array of the hashes with a row
+counted by language; the models hold, for each order, a sorted array of all the hashes with a row
 of log probabilities, and one of contexts with the weights left to the lower order; the first
 bits of a hash say where in the array to look. A text gets the language of the lowest cross-entropy per letter.
 
@@ -30,8 +30,8 @@ BITS, ORDER = 16, 4
 ALPHABET = 1 << BITS
 #: The private area of the basic plane, into which letters above it fold.
 PRIVATE, PRIVATE_SIZE = 0xE000, 0x1900
-#: n-grams of all models together; beyond it each language's rarest go, by a least count.
-GRAMS = 4_000_000
+#: If set, a bound of n-grams of all models together, beyond which each language's rarest go; all are held without it.
+GRAMS: int | None = None
 CALIBRATION_ROWS = 2_000
 SLICE = 1 << 18
 #: Standard deviations above the mean cross-entropy of a language from which texts are rejected.
@@ -330,27 +330,28 @@ class LanguageModel:
 
 
 def fitted(train: DataFrame) -> LanguageModel:
-    """The models of train (columns lang, text), whose n-grams are all counted.
+    """The models of train (columns lang, text), whose n-grams are all counted and held.
 
-    Only where the n-grams are more than GRAMS, each language keeps those of a least count
-    with which they are fewer; the others count for the discount alone.
+    Only where GRAMS is set and the n-grams are more, each language keeps those of a least
+    count with which they are fewer; the others count for the discount alone.
     """
     counted = written(gram_counts(train), "grams")
     few = counted.groupBy("lang", F.least("n", F.lit(4096)).alias("n")).count().collect()  # at most 4096 rows a language
     shape: dict[str, dict[int, int]] = {}
     for r in few:
         shape.setdefault(r.lang, {})[r.n] = r["count"]
-    least = {}
-    for lang, hist in shape.items():
-        left = sum(hist.values())
-        for n in sorted(hist):
-            if left <= GRAMS // len(shape):
-                break
-            left -= hist[n]
-        least[lang] = n if left < sum(hist.values()) else 1
-    spark = train.sparkSession
-    bounds = spark.createDataFrame(sorted(least.items()), "lang string, least long")
-    table = counted.join(F.broadcast(bounds), "lang").filter("n >= least").select("lang", "gram", "n").toArrow()  # at most GRAMS rows
+    if GRAMS is not None and sum(sum(hist.values()) for hist in shape.values()) > GRAMS:
+        least = {}
+        for lang, hist in shape.items():
+            left = sum(hist.values())
+            for n in sorted(hist):
+                if left <= GRAMS // len(shape):
+                    break
+                left -= hist[n]
+            least[lang] = n if left < sum(hist.values()) else 1
+        bounds = train.sparkSession.createDataFrame(sorted(least.items()), "lang string, least long")
+        counted = counted.join(F.broadcast(bounds), "lang").filter("n >= least")
+    table = counted.select("lang", "gram", "n").toArrow()
     lang = table.column("lang").combine_chunks().dictionary_encode()
     names, own = lang.dictionary.to_pylist(), lang.indices.to_numpy()
     gram, n = table.column("gram").to_numpy().view("u8"), table.column("n").to_numpy()
